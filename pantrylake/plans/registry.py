@@ -5,14 +5,16 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
-from pyspark.sql import functions as F
 
-FLAGSHIP = "AGG_01_group_count"
+from . import aggregates, joins, rows, scalars, streams, windows  # noqa: F401  (each registers its queries)
+from .base import ORACLES, QUERIES
+
+FLAGSHIP = "QRY_05_category_spend"
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {FLAGSHIP: lambda spark, d: spark.read.parquet(f"{d}/lineitem.parquet").groupBy("l_returnflag").agg(F.count("*").alias("n"))}
+    return dict(QUERIES)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {FLAGSHIP: "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1"}
+    return dict(ORACLES)

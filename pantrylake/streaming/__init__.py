@@ -1 +1 @@
-"""See the README for what lies here."""
+"""Structured Streaming: ingestion, rolling state, windows."""
