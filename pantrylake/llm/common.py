@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
+import math
 import tempfile
 import uuid
 
-from pyspark import StorageLevel  # noqa: F401  (re-exported for tests)
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -65,13 +65,19 @@ def range_bucket(df: DataFrame, key: str, buckets: int) -> Column:
     edges = sorted({int(x) for x in edges})
     if not edges:
         return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.lit(0))
-    bound = F.array(*[F.lit(x).cast("long") for x in edges])
-    return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.size(F.filter(bound, lambda x: x <= F.col(key))))
+    # two levels: which run of edges, then which edge of the run, so that many ranges cost few comparisons
+    run = max(1, math.isqrt(len(edges)))
+    runs = [edges[i : i + run] for i in range(0, len(edges), run)]
+    longs = lambda xs: F.array(*[F.lit(x).cast("long") for x in xs])
+    below = lambda xs: F.size(F.filter(xs, lambda x: x <= F.col(key)))
+    nth = below(longs([r[0] for r in runs]))
+    inside = F.coalesce(F.get(F.array(*[longs(r) for r in runs]), nth - 1), F.array().cast("array<long>"))
+    return F.when(F.col(key).isNull(), F.lit(-1)).otherwise(F.greatest(nth - 1, F.lit(0)) * run + below(inside))
 
 
 def bucket_count(spark: SparkSession) -> int:
     """Range buckets for an ordered pass: a few for each shuffle partition, and a bounded number."""
-    return max(8, min(512, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
+    return max(8, min(8192, 2 * int(spark.conf.get("spark.sql.shuffle.partitions"))))
 
 
 def running_start(df: DataFrame, bucket: str, order: list[Column], size: Column, name: str, by: list[str] | None = None) -> DataFrame:

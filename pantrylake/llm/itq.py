@@ -36,25 +36,28 @@ SEED = 7
 
 
 def learn(sample, bits: int):
-    """(mean, rotation): d x bits, by iterative quantisation of a sample of unit vectors."""
+    """Rotation, d x bits, by iterative quantisation of a sample of unit vectors.
+
+    Vectors are not centred: all planes pass through the origin, so that close angles agree in most bits however
+    crowded the data are (centring would cut a crowd of near copies into random codes); the rotation spreads the
+    variance over all bits, which is what balances them.
+    """
     import numpy as np
 
     d = sample.shape[1]
-    mean = sample.mean(axis=0)
-    centred = sample - mean
-    _, _, axes = np.linalg.svd(centred.T @ centred / max(1, len(sample)))
+    _, _, axes = np.linalg.svd(sample.T @ sample / max(1, len(sample)))
     rng = np.random.default_rng(SEED)
     out = []
     while sum(w.shape[1] for w in out) < bits:
         k = min(d, bits - sum(w.shape[1] for w in out))
         own = axes[:k].T if not out else axes.T @ np.linalg.qr(rng.normal(size=(d, d)))[0][:, :k]
-        v = centred @ own
+        v = sample @ own
         turn = np.linalg.qr(rng.normal(size=(k, k)))[0]
         for _ in range(ITERATIONS):
             u, _, w = np.linalg.svd(np.sign(v @ turn).T @ v)
             turn = (u @ w).T
         out.append(own @ turn)
-    return mean, np.hstack(out)
+    return np.hstack(out)
 
 
 def tables_for(flip: float, width: int) -> int:
@@ -165,10 +168,10 @@ def _links(points: DataFrame, n: int, d: int) -> DataFrame:
         off -= (off * base).sum(axis=1, keepdims=True) * base
         off /= np.maximum(np.linalg.norm(off, axis=1, keepdims=True), 1e-12)
         pair = THRESHOLD * base + math.sqrt(1 - THRESHOLD**2) * off
-        mean, turn = learn(sample, int(dim))
-        flip = float(np.mean(((base - mean) @ turn > 0) != ((pair - mean) @ turn > 0)))
+        turn = learn(sample, int(dim))
+        flip = float(np.mean((base @ turn > 0) != (pair @ turn > 0)))
         tables = tables_for(flip, width)
-        models[int(dim)] = (*learn(sample, tables * width), tables)
+        models[int(dim)] = (learn(sample, tables * width), tables)
     shared = spark.sparkContext.broadcast(models)
 
     def encode(batches: Iterator) -> Iterator:
@@ -184,8 +187,8 @@ def _links(points: DataFrame, n: int, d: int) -> DataFrame:
                 if model is None:
                     codes.append([0])  # a length that the sample lacks: all its vectors meet in one table
                     continue
-                mean, turn, tables = model
-                bits = (values[i:j] - mean) @ turn > 0
+                turn, tables = model
+                bits = values[i:j] @ turn > 0
                 codes.append(bits.reshape(tables, width) @ (1 << np.arange(width)))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array([np.asarray(c, np.int32) for c in codes], pa.list_(pa.int32()))], [*batch.schema.names, "codes"])
 

@@ -113,7 +113,7 @@ class Trees:
                 below = self._row(counts, shorter)
                 bits[first[k] : first[k + 1], :, which] = -np.log2(below)
         bits[:, a - 1, :] += np.log2(max(1, 256 - (a - 1)))
-        self.bits = bits.reshape(-1, len(self.langs))
+        self.bits = bits.reshape(first[-1] * a, len(self.langs))
 
     @staticmethod
     def _row(counts, shorter):

@@ -172,10 +172,11 @@ def keep_one(docs: DataFrame) -> DataFrame:
     Rows without doc_id cannot be told apart and all stay.
     """
     gone = near_duplicates(docs).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    kept = docs.join(gone, F.col("doc_id").cast("long") == F.col("_gone"), "left_anti")
-    if docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        return kept
-    return kept.where("doc_id is not null").dropDuplicates(["doc_id"]).unionByName(kept.where("doc_id is null"))
+    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"))
+    kept = rows.join(gone, F.col("_id") == F.col("_gone"), "left_anti")
+    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
+        kept = kept.where("_id is not null").dropDuplicates(["_id"]).unionByName(kept.where("_id is null"))
+    return kept.select("_row.*")
 
 
 def op9(docs: DataFrame) -> DataFrame:
