@@ -167,7 +167,7 @@ def _(t):
     return recursive.expand(roots, edges).groupBy("root", "node").agg(F.sum("quantity").alias("quantity"), F.max("level").alias("level"))
 
 
-@query("JOI_26_tree_closure", "WITH RECURSIVE t AS (SELECT p_partkey node, CASE WHEN p_partkey >= 10 THEN p_partkey // 10 END parent FROM part), d(node, level) AS (SELECT 4::BIGINT, 0::BIGINT UNION ALL SELECT t.node, level + 1 FROM d JOIN t ON t.parent = d.node) SELECT node, level FROM d")
+@query("JOI_26_tree_closure", "WITH RECURSIVE t AS (SELECT p_partkey node, CASE WHEN p_partkey >= 10 THEN p_partkey // 10 END parent FROM part), u(node, parent) AS (SELECT node, parent FROM t WHERE node = 423 UNION ALL SELECT t.node, t.parent FROM u JOIN t ON t.node = u.parent), d(node, level) AS (SELECT node, 0::BIGINT FROM u WHERE parent IS NULL UNION ALL SELECT t.node, level + 1 FROM d JOIN t ON t.parent = d.node) SELECT node, level FROM d")
 def _(t):
     tree = t.part.select(F.col("p_partkey").alias("node"), F.when(F.col("p_partkey") >= 10, F.expr("p_partkey div 10")).alias("parent"))
     return recursive.closure(tree, F.col("node") == 423)
