@@ -50,11 +50,13 @@ def _tables() -> tuple[np.ndarray, np.ndarray]:
 _ONE, _PAIR = _tables()
 
 
-def _shown() -> dict[int, int]:
+def _shown() -> np.ndarray:
     """Byte-level vocabularies write a byte as a visible character: itself, or the next one from 256 on."""
     visible = {*range(33, 127), *range(161, 173), *range(174, 256)}
+    shown = np.arange(256, dtype="<u4")
     hidden = [b for b in range(256) if b not in visible]
-    return {b: 256 + k for k, b in enumerate(hidden)}
+    shown[hidden] = 256 + np.arange(len(hidden))
+    return shown
 
 
 _SHOWN = _shown()
@@ -285,7 +287,7 @@ class PieceEncoder:
             text = raw.tobytes()
             if self.style == "word":
                 text = text.decode("utf-8").lower().encode("utf-8")  # as many bytes: Latin-1 only
-            shown = text.decode("latin-1").translate(_SHOWN)
+            shown = _SHOWN[np.frombuffer(text, np.uint8)].tobytes().decode("utf-32-le")
             self._add(a[new], b[new], [shown[i:j] for i, j in zip(begin[new].tolist(), end[new].tolist())])
             number[missing] = self._find(a[missing], b[missing])
             if (number < 0).any():  # two pieces with one first hash: the other one follows
