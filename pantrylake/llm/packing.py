@@ -49,11 +49,11 @@ def _encoded(vocabulary: str):
         import pyarrow as pa
         from pyspark import TaskContext
 
-        from .pieces import encoder, text_bytes
+        from .pieces import encoder, slices, text_bytes
 
         tool = encoder(vocabulary_path(vocabulary), "word")
         part, seen = TaskContext.get().partitionId(), {}
-        for batch in batches:
+        for batch in slices(batches):
             data, edges = text_bytes(batch.column("text"))
             ids, counts = tool.encode(data, edges)
             full = counts + 1

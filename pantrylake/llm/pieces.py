@@ -9,6 +9,7 @@ from __future__ import annotations
 
 import os
 import unicodedata
+from collections.abc import Iterator
 
 import numpy as np
 
@@ -314,6 +315,20 @@ def encoder(path: str, style: str) -> PieceEncoder:
     return _ENCODERS[path, style]
 
 
+def slices(batches: Iterator, column: str = "text", most: int = 4 << 20) -> Iterator:
+    """The same rows in record batches of about `most` bytes of text, or one row, so that long texts stay few at once."""
+    import pyarrow.compute as pc
+
+    for batch in batches:
+        ends = np.cumsum(pc.fill_null(pc.binary_length(batch.column(column)), 0).to_numpy(zero_copy_only=False).astype(np.int64))
+        at = 0
+        while at < len(ends):
+            before = ends[at - 1] if at else 0
+            to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
+            yield batch.slice(at, to - at)
+            at = to
+
+
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:
     """The UTF-8 bytes and offsets of an Arrow string column (null: empty), without Python strings."""
     import pyarrow as pa

@@ -82,11 +82,11 @@ def _encoded(vocabulary: str):
         from pyspark import TaskContext
 
         from .packing import vocabulary_path
-        from .pieces import encoder, text_bytes
+        from .pieces import encoder, slices, text_bytes
 
         tool = encoder(vocabulary_path(vocabulary), "gpt")
         part, row, seen = TaskContext.get().partitionId(), 0, set()
-        for batch in batches:
+        for batch in slices(batches):
             data, edges = text_bytes(batch.column("text"))
             ids, counts = tool.encode(data, edges)
             ends = np.cumsum(counts + 1)
