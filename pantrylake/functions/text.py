@@ -64,3 +64,40 @@ def nearest_fraction(c: Column) -> Column:
     for a, b in shown:
         out = out.when(F.abs(rest - a / b) <= 0.02, F.concat(F.when(whole > 0, F.concat(whole.cast("string"), F.lit(" "))).otherwise(""), F.lit(f"{a}/{b}")))
     return out.otherwise(F.format_string("%.2f", c.cast("double")))
+
+
+def naive_stem(word: Column) -> Column:
+    """Lower case; words over three letters lose a final s."""
+    w = F.lower(word)
+    return F.when((F.length(w) > 3) & F.endswith(w, F.lit("s")), F.substr(w, F.lit(1), F.length(w) - 1)).otherwise(w)
+
+
+def ocr_clean(c: Column) -> Column:
+    """Spaces where recognition ran words together: a zero read for O in OZ, and a unit glued to the word after it."""
+    #: The units that are told apart.
+    units = "OZ|LB|GAL|CT|CS|DZ|EA|KG|ML"
+    return F.regexp_replace(F.regexp_replace(c, r"([0-9]+)0Z\b", "$1 OZ"), rf"\b({units})([A-Z]{{4,}})", "$1 $2")
+
+
+def strip_edges(c: Column, lead: str, brand: str, tail: str, least: int = 5) -> Column:
+    """Without a leading pattern, a brand and up to two trailing patterns, where `least` characters or more remain."""
+    cut = lambda s, p: F.trim(F.regexp_replace(s, p, ""))
+    out = cut(cut(c, rf"^(?:{lead})"), rf"^(?:{brand})")
+    for _ in range(2):
+        shorter = cut(out, rf"(?:{tail})$")
+        out = F.when(F.length(shorter) >= least, shorter).otherwise(out)
+    return F.when((F.length(out) >= least) & (F.length(out) < F.length(c)), out).otherwise(c)
+
+
+def first_group(c: Column, patterns: list[str]) -> Column:
+    """The first group of the first pattern that matches; null where none does."""
+    return F.coalesce(*[F.nullif(F.regexp_extract(c, p, 1), F.lit("")) for p in patterns])
+
+
+def section_name(label: Column, names: list[str], otherwise: Column | None = None) -> Column:
+    """The first canonical name that a label contains, else the label itself (or `otherwise`)."""
+    out = None
+    for n in names:
+        hit = F.contains(F.upper(label), F.lit(n))
+        out = F.when(hit, n) if out is None else out.when(hit, n)
+    return out.otherwise(label if otherwise is None else otherwise)

@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import text
+from ..functions import fuzzy, text
 
 
 def jaccard_best(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tokens: str, threshold: float, least: int = 2) -> DataFrame:
@@ -56,3 +56,12 @@ def resolve(items: DataFrame, mappings: DataFrame, item_id: str, tiers: list[tup
         left = tried.where(F.col("target").isNull()).drop("target")
     rest = left.withColumn("target", F.lit(None).cast(mappings.schema["target"].dataType)).withColumn("tier", F.lit("unmatched"))
     return rest if done is None else done.unionByName(rest)
+
+
+def food_score(name: Column, other: Column, words: Column, other_words: Column, disqualifying: list[str]) -> Column:
+    """0.6 of the name's words covered and 0.4 of string likeness, less 0.35 without its first word and 0.5 for each
+    disqualifying word that only the other has; never under 0."""
+    covered = F.size(F.array_intersect(words, other_words)) / F.size(F.array_distinct(words))
+    extra = F.size(F.array_intersect(F.array_except(other_words, words), F.array(*map(F.lit, disqualifying))))
+    head = F.when(F.array_contains(other_words, F.get(words, 0)), 0.0).otherwise(0.35)
+    return F.greatest(F.lit(0.0), 0.6 * covered + 0.4 * fuzzy.scorer(fuzzy.sequence)(name, other) - head - 0.5 * extra)
