@@ -189,10 +189,10 @@ def identify(docs: DataFrame, trees: Trees | None = None) -> DataFrame:
     def predict(batches: Iterator) -> Iterator:
         import numpy as np
 
-        from .pieces import text_bytes
+        from .pieces import slices, text_bytes
 
         model = shared.value
-        for batch in batches:
+        for batch in slices(batches):
             data, edges = text_bytes(batch.column("text"))
             at = edges.tolist()
             able = np.array([bool(model.langs) and has_letter(data[i:j].tobytes()) for i, j in zip(at, at[1:])], bool)

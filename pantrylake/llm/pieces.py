@@ -327,6 +327,19 @@ def slices(batches: Iterator, column: str = "text", most: int = 4 << 20) -> Iter
             to = max(at + 1, int(np.searchsorted(ends, before + most, "right")))
             yield batch.slice(at, to - at)
             at = to
+    give_back()
+
+
+def give_back() -> None:
+    """Return freed memory to the system: an idle worker stays beside the JVM until Spark ends it."""
+    import ctypes
+
+    import pyarrow as pa
+
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:
+        trim(0)
 
 
 def text_bytes(column) -> tuple[np.ndarray, np.ndarray]:

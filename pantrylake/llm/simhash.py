@@ -55,9 +55,9 @@ def _fingerprints(batches: Iterator) -> Iterator:
     import numpy as np
     import pyarrow as pa
 
-    from .pieces import text_bytes
+    from .pieces import slices, text_bytes
 
-    for batch in batches:
+    for batch in slices(batches):
         data, at = text_bytes(batch.column("text"))
         at = at.tolist()
         found = np.array([fingerprint_bytes(data[i:j].tobytes()) for i, j in zip(at, at[1:])], np.uint64)
@@ -94,6 +94,8 @@ def _sweep(batches: Iterator) -> Iterator:
     import numpy as np
     import pyarrow as pa
 
+    from .pieces import give_back
+
     def links(tab: pa.Table):
         node, fp = tab["node"].to_numpy(), tab["fp"].to_numpy().view(np.uint64)
         side = tab["side"].to_numpy()
@@ -136,6 +138,8 @@ def _sweep(batches: Iterator) -> Iterator:
                 held = tab.slice(cut).combine_chunks().to_batches()
     if held:
         yield links(pa.Table.from_batches(held).combine_chunks())
+    held.clear()
+    give_back()
 
 
 def near_links(points: DataFrame, n: int) -> DataFrame:
