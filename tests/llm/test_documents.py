@@ -371,3 +371,19 @@ def test_digest(which, request):
 def test_a_single_document_follows_itself(spark):
     row = digest.op10(spark.createDataFrame([(5, "abcdef")], "doc_id long, text string")).first()
     assert row.edited_sha256 == hashlib.sha256(b"abcdab").hexdigest() and row.near_next == 1.0
+
+
+def test_slices_keep_all_rows_in_order():
+    import pyarrow as pa
+
+    from pantrylake.llm.pieces import slices, text_bytes
+
+    texts = ["ab", None, "", "cdef", "é"]
+    batch = pa.RecordBatch.from_arrays([pa.array(range(5)), pa.array(texts)], ["doc_id", "text"])
+    for most in (1, 3, 100):
+        cut = list(slices(iter([batch, batch.slice(0, 0), batch.slice(2)]), most=most))
+        assert [x for b in cut for x in b.column("doc_id").to_pylist()] == [0, 1, 2, 3, 4, 2, 3, 4]
+        for b in cut:
+            data, at = text_bytes(b.column("text"))
+            assert [bytes(data[i:j]).decode() for i, j in zip(at, at[1:])] == [x or "" for x in b.column("text").to_pylist()]
+            assert b.num_rows == 1 or int(at[-1] - at[0]) <= most
