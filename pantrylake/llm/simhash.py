@@ -61,13 +61,14 @@ def _fingerprints(batches: Iterator) -> Iterator:
         data, at = text_bytes(batch.column("text"))
         at = at.tolist()
         found = np.array([fingerprint_bytes(data[i:j].tobytes()) for i, j in zip(at, at[1:])], np.uint64)
-        yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        names = [c for c in batch.schema.names if c != "text"]
+        yield pa.RecordBatch.from_arrays([*map(batch.column, names), pa.array(found.view(np.int64))], [*names, "fp"])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """(doc_id, fp): the signed 64-bit fingerprint of every whole text."""
-    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return picked.mapInArrow(_fingerprints, "doc_id long, fp long")
+def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
+    """(doc_id, *more, fp): the signed 64-bit fingerprint of every whole text."""
+    picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
+    return picked.mapInArrow(_fingerprints, picked.drop("text").withColumn("fp", F.lit(0).cast("long")).schema)
 
 
 def parts_for(n: int) -> int:
@@ -171,15 +172,28 @@ def near_duplicates(docs: DataFrame) -> DataFrame:
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
-    """One document of each group stays: that with the smallest doc_id (of rows that repeat it, one).
+    """One row of each group stays: that with the smallest doc_id, then fingerprint, then text.
 
-    Rows without doc_id cannot be told apart and all stay.
+    Groups are of fingerprints, so an id that repeats with unrelated texts counts in each of their groups. Rows without
+    doc_id cannot be told apart and all stay.
     """
-    gone = near_duplicates(docs).where("doc_id != component_id").select(F.col("doc_id").alias("_gone")).distinct()
+    found = staged(fingerprints(docs).where("doc_id is not null"), "fingerprints")
+    points = staged(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "points")
+    of = components(near_links(points.select(F.col("fp").alias("node"), "fp"), points.count()), "a", "b")
+    points = points.join(of, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("group"))
+    best = staged(points.groupBy("group").agg(F.min(F.struct("first", "fp")).alias("best")), "best")
+    stays = points.join(best, "group").select("fp", F.col("best.first").alias("_stay"), F.col("best.fp").alias("_fp"))
+    gone = found.join(stays, "fp").where("doc_id != _stay or fp != _fp").select(F.col("doc_id").alias("_gone"))
+    again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_gone"))
+    repeated = not again.isEmpty()
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"))
-    kept = rows.join(gone, F.col("_id") == F.col("_gone"), "left_anti")
-    if not docs.where("doc_id is not null").groupBy("doc_id").count().where("count > 1").isEmpty():
-        kept = kept.where("_id is not null").dropDuplicates(["_id"]).unionByName(kept.where("_id is null"))
+    kept = rows.join((gone.unionByName(again) if repeated else gone).distinct(), F.col("_id") == F.col("_gone"), "left_anti").select("_row")
+    if repeated:  # such an id says nothing of the text: these rows are told apart by fingerprint as well
+        some = rows.join(again, F.col("_id") == F.col("_gone"), "left_semi").select(F.col("_id").alias("doc_id"), F.col("_row.text").alias("text"), "_row")
+        pairs = best.select(F.col("best.first").alias("doc_id"), F.col("best.fp").alias("fp"))
+        some = fingerprints(some, "_row").join(pairs, ["doc_id", "fp"], "left_semi")
+        least = F.min_by("_row", F.struct(F.coalesce(F.col("_row.text").cast("string"), F.lit("")), F.to_json("_row")))
+        kept = kept.unionByName(some.groupBy("doc_id", "fp").agg(least.alias("_row")).select("_row"))
     return kept.select("_row.*")
 
 

@@ -321,6 +321,18 @@ def test_simhash(which, request):
     assert got == {(d, f"{f:016x}", component[d]) for d, f in rows}
 
 
+def test_one_of_each_group_stays_where_ids_repeat(spark):
+    a, b = "red apples and green pears are in the box today", "the quarterly meeting of all suppliers was moved to another town"
+    for rows in (
+        [(3, a), (5, a), (5, b)],
+        [(3, a), (5, a), (5, b), (9, b)],
+        [(3, a), (3, b), (9, b), (4, a)],
+        [(5, b), (5, a), (5, a)],
+    ):
+        got = sorted((r.doc_id, r.text) for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string")).collect())
+        assert got == sorted((min(d for d, t in rows if t == text), text) for text in (a, b)), rows
+
+
 def test_simhash_full_parts(spark, monkeypatch):
     """Many fingerprints in one part are dealt into squares and lose no link."""
     rng = np.random.default_rng(5)
