@@ -1,29 +1,33 @@
-"""Packing documents into fixed windows under a token mixture, by deficit round-robin over source queues.
+"""Packing documents into fixed windows under a token mixture, dealt to source queues by exact proportions.
 
-Every window takes from each source queue its target share of tokens. What a queue is owed beyond whole tokens is its
-deficit, carried from window to window; the schedule repeats after PERIOD windows, so what any queue has served before
-any window is known in closed form, and every partition cuts its own documents without hearing from the others. When a
-queue runs out, the rest share its place anew. All windows but the last are full.
+The ids of all queues form one stream that is cut into windows. A binary tree over the queues deals the stream: of the
+first m ids that reach a node, its left half gets floor((m * left weight + carry) / weight), in integers, so every count
+is known in closed form, never falls, and stays within an id a level of its exact share, however small the share is.
+Every partition cuts its own documents without hearing from the others. When a queue runs out, its weight becomes 0 and
+the others' carries go on. All windows but the last are full.
 
 Documents are encoded once into a staged table; its tasks number their rows, so a document's place in its queue is the
 queue's sum over earlier tasks plus its place within the task. Only sums by (queue, task) are shuffled.
 
 Defined cases: a null text counts as empty and is just its end id; a null source is a queue of its own; repeated rows
-are packed as often as they come; beyond MAX_QUEUES sources, sources share queues by hash; an empty table gives no
-rows. Columns other than doc_id, source and text are not read.
+are packed as often as they come; every source has its own queue, and the driver holds one total for each; an empty
+table gives no rows. Columns other than doc_id, source and text are not read.
 """
 
 from __future__ import annotations
 
+from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
+from fractions import Fraction
+from math import lcm
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from .common import staged
 
-LENGTH, END, PERIOD, MAX_QUEUES = 2048, 1, 32, 1024
+LENGTH, END, PERIOD = 2048, 1, 32
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -35,12 +39,9 @@ def vocabulary_path(name: str) -> str:
 
 
 def queued(docs: DataFrame) -> DataFrame:
-    """(doc_id, queue, text): queue is the source, or a class of sources where there are very many."""
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.concat(F.lit("="), F.col("source").cast("string")).alias("source"), F.col("text").cast("string").alias("text"))
-    rows = rows.withColumn("source", F.coalesce("source", F.lit("")))
-    many = rows.select("source").distinct().limit(MAX_QUEUES + 1).count() > MAX_QUEUES
-    queue = F.concat(F.lit("#"), F.pmod(F.xxhash64("source"), F.lit(MAX_QUEUES)).cast("string")) if many else F.col("source")
-    return rows.select("doc_id", queue.alias("queue"), "text")
+    """(doc_id, queue, text): queue is the source after "=", or "" for a null."""
+    queue = F.coalesce(F.concat(F.lit("="), F.col("source").cast("string")), F.lit(""))
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), queue.alias("queue"), F.col("text").cast("string").alias("text"))
 
 
 def _encoded(vocabulary: str):
@@ -75,113 +76,178 @@ def _encoded(vocabulary: str):
     return run
 
 
+class Dealer:
+    """Deals a stream to leaves in proportion to their weights. Node k has the halves 2k and 2k + 1; leaves come last."""
+
+    def __init__(self, weights: list[int], carry: dict[int, Fraction] | None = None):
+        self.size = 1 << max(0, len(weights) - 1).bit_length()
+        self.weight = [0] * self.size + list(weights) + [0] * (self.size - len(weights))
+        for k in range(self.size - 1, 0, -1):
+            self.weight[k] = self.weight[2 * k] + self.weight[2 * k + 1]
+        # a half id to begin with, so that counts are rounded and not cut
+        part = (lambda k: carry.get(k, Fraction(1, 2))) if carry else (lambda k: Fraction(1, 2))
+        self.carry = [0] + [int(part(k) * self.weight[k]) for k in range(1, self.size)]
+
+    def _left(self, k: int, m: int) -> int:
+        return (m * self.weight[2 * k] + self.carry[k]) // self.weight[k] if self.weight[k] else 0
+
+    def served(self, leaf: int, m: int) -> tuple[int, int]:
+        """Of the first m ids: how many go to the leaf, and how many to those before it."""
+        before, k, bit = 0, 1, self.size >> 1
+        while bit:
+            left = self._left(k, m)
+            if leaf & bit:
+                before, m, k = before + left, m - left, 2 * k + 1
+            else:
+                m, k = left, 2 * k
+            bit >>= 1
+        return m, before
+
+    def counts(self, m: int) -> list[int]:
+        """What each leaf has of the first m ids."""
+        at = [0, m] + [0] * (2 * self.size - 2)
+        for k in range(1, self.size):
+            at[2 * k] = self._left(k, at[k])
+            at[2 * k + 1] = at[k] - at[2 * k]
+        return at[self.size :]
+
+    def place(self, leaf: int, j: int) -> int:
+        """Where in the stream the leaf's id j is (both from 0)."""
+        k = self.size + leaf
+        while k > 1:
+            up = k >> 1
+            all_of, own, carry = self.weight[up], self.weight[2 * up], self.carry[up]
+            if k & 1:  # the least m with m - floor((m * own + carry) / all_of) > j, less one
+                j = (j * all_of + carry) // (all_of - own)
+            else:  # the least m with floor((m * own + carry) / all_of) > j, less one
+                j = -(-((j + 1) * all_of - carry) // own) - 1
+            k = up
+        return j
+
+    def carries(self, m: int) -> dict[int, Fraction]:
+        """Each node's fraction of an id that its left half is owed after m ids."""
+        at, out = [0, m] + [0] * (2 * self.size - 2), {}
+        for k in range(1, self.size):
+            at[2 * k] = self._left(k, at[k])
+            at[2 * k + 1] = at[k] - at[2 * k]
+            if self.weight[k]:
+                out[k] = Fraction((at[k] * self.weight[2 * k] + self.carry[k]) % self.weight[k], self.weight[k])
+        return out
+
+
 @dataclass
 class Phase:
-    """`periods` repetitions of a pattern of windows from window `first` on."""
+    """The stream from id `first` to id `last`, dealt by one set of weights to the queues of one group."""
 
     first: int
-    periods: int
-    begin: list[int]  # of each queue: ids served before the phase
-    served: list[list[int]]  # by window of the pattern, then queue
-
-
-def _window(owed: list[int], quantum: list[int], period: int, left: list[int], length: int) -> list[int]:
-    """One window of deficit round-robin: what each queue serves. `owed` (in 1/period ids) is carried on."""
-    for i, q in enumerate(quantum):
-        owed[i] += q
-    serve = [min(left[i], max(0, owed[i] // period)) for i in range(len(owed))]
-    short = min(length, sum(left)) - sum(serve)
-    by_owed = sorted(range(len(owed)), key=lambda i: (serve[i] * period - owed[i], i))
-    while short:
-        step = 1 if short > 0 else -1
-        before = short
-        for i in by_owed if step > 0 else reversed(by_owed):
-            if short and (serve[i] < left[i] if step > 0 else serve[i] > 0):
-                # near the end the remaining queues fill the window
-                take = step if quantum[i] * 4 < period * length or step < 0 else min(short, left[i] - serve[i])
-                serve[i] += take
-                short -= take
-        if short == before:
-            break
-    for i, s in enumerate(serve):
-        owed[i] -= s * period
-    return serve
+    last: int
+    length: int
+    group: int
+    before: int  # ids of earlier groups
+    begin: list[int]  # of each queue of the group: ids served before the phase
+    dealer: Dealer
+    queues: list[int]
+
+    @property
+    def served(self) -> list[list[int]]:
+        """By window (the first PERIOD whole ones from the phase's start), then queue of the group: ids served."""
+        steps = range(min(PERIOD, (self.last - self.first) // self.length) + 1)
+        cum = [self.dealer.counts(i * self.length)[: len(self.queues)] for i in steps]
+        return [[y - x for x, y in zip(a, b)] for a, b in zip(cum, cum[1:])]
+
+
+#: Weights are scaled to at least so many units in all, so that a carry is cut by less than 2**-64 of an id.
+UNITS = 1 << 64
 
 
 def schedule(totals: list[int], weights: list[float] | None = None, length: int = LENGTH) -> list[Phase]:
-    """Phases that serve all queues' ids. weights: target proportions (default: so that all queues end together)."""
-    left, done, window, phases = list(totals), [0] * len(totals), 0, []
-    while sum(left):
-        share = [(weights[i] if weights else totals[i]) if left[i] else 0 for i in range(len(left))]
-        if not sum(share):
-            share = left
-        room = PERIOD * length
-        quantum = [int(room * s / sum(share)) for s in share]
-        for i in sorted(range(len(left)), key=lambda i: (quantum[i] - room * share[i] / sum(share), i))[: room - sum(quantum)]:
-            quantum[i] += 1 if left[i] else 0
-        owed, endless = [0] * len(left), [room * PERIOD if n else 0 for n in left]
-        pattern = [_window(owed, quantum, PERIOD, endless, length) for _ in range(PERIOD)]
-        total = [sum(w[i] for w in pattern) for i in range(len(left))]
-        periods = min((left[i] // total[i] for i in range(len(left)) if total[i]), default=0)
-        if periods:
-            phases.append(Phase(window, periods, list(done), pattern))
-            window += periods * PERIOD
-            for i, n in enumerate(total):
-                done[i] += n * periods
-                left[i] -= n * periods
+    """Phases that serve all queues' ids. weights: target proportions (default: so that all queues end together).
+
+    Queues without a positive weight come after all others, and then end together.
+    """
+    weighted = [i for i, n in enumerate(totals) if n and weights and weights[i] > 0]
+    chosen = set(weighted)
+    rest = [i for i, n in enumerate(totals) if n and i not in chosen]
+    phases, first = [], 0
+    for group, (queues, share) in enumerate(((weighted, weights), (rest, totals))):
+        if not queues:
             continue
-        owed = [0] * len(left)
-        alive = sum(n > 0 for n in left)
-        while sum(left) and sum(n > 0 for n in left) == alive:
-            serve = _window(owed, quantum, PERIOD, left, length)
-            phases.append(Phase(window, 1, list(done), [serve]))
-            window += 1
-            for i, n in enumerate(serve):
-                done[i] += n
-                left[i] -= n
+        exact = [Fraction(share[i]) for i in queues]
+        unit = lcm(*[x.denominator for x in exact])
+        whole = [int(x * unit) for x in exact]
+        if share is not totals and sum(whole) < UNITS:
+            whole = [x * (UNITS // sum(whole) + 1) for x in whole]
+        left, done, before, carry = [totals[i] for i in queues], [0] * len(queues), first, None
+        while any(left):
+            dealer = Dealer([w if n else 0 for w, n in zip(whole, left)], carry)
+            # up to the first id that its queue no longer has
+            size = min(dealer.place(i, n) for i, n in enumerate(left) if n) if share is not totals else sum(left)
+            size = min(size, sum(left))
+            phases.append(Phase(first, first + size, length, group, before, list(done), dealer, queues))
+            got = dealer.counts(size)
+            carry = dealer.carries(size) if share is not totals else None
+            done = [d + g for d, g in zip(done, got)]
+            left = [n - g for n, g in zip(left, got)]
+            first += size
     return phases
 
 
 class Cutter:
-    """Cuts ranges of a queue into pieces of windows."""
+    """Cuts ranges of a queue into pieces of windows; within a window, pieces are in the order of groups and queues."""
 
     def __init__(self, phases: list[Phase]):
-        import numpy as np
-
-        n = len(phases[0].begin) if phases else 0
-        self.begin = np.array([p.begin for p in phases], np.int64).reshape(len(phases), n)
+        self.phases = phases
         self.first = [p.first for p in phases]
-        self.cum, self.at = [], []
+        self.end = phases[-1].last if phases else 0
+        self.of, self.begins = {}, {}
+        for n, p in enumerate(phases):
+            for leaf, queue in enumerate(p.queues):
+                self.of[queue] = (p.group, leaf)
+            self.begins.setdefault(p.group, []).append(n)
+        self.ahead = []
         for p in phases:
-            s = np.array(p.served, np.int64)
-            self.cum.append(np.vstack([np.zeros((1, n), np.int64), np.cumsum(s, axis=0)]))
-            self.at.append(np.cumsum(s, axis=1) - s)
-        self.last = [p.first + p.periods * len(p.served) for p in phases]
+            ahead = [0]
+            for x in p.begin:
+                ahead.append(ahead[-1] + x)
+            self.ahead.append(ahead)
+
+    def served(self, group: int, leaf: int, r: int) -> tuple[int, int]:
+        """Of the first r ids of the stream: how many the queue has, and how many those before it in a window."""
+        own = self.begins[group]
+        start, end = self.phases[own[0]].first, self.phases[own[-1]].last
+        clipped = min(max(r, start), end)
+        n = min(max(bisect_right(self.first, clipped) - 1, own[0]), own[-1])
+        p = self.phases[n]
+        mine, before = p.dealer.served(leaf, clipped - p.first)
+        return p.begin[leaf] + mine, min(r, p.before) + self.ahead[n][leaf] + before
 
     def cut(self, queue: int, start: int, end: int):
         """(position, length, window, offset) of the pieces of [start, end), as arrays."""
         import numpy as np
 
-        f = int(np.searchsorted(self.begin[:, queue], start, "right")) - 1
+        group, leaf = self.of[queue]
+        own = self.begins[group]
+        n = own[bisect_right(own, start, key=lambda n: self.phases[n].begin[leaf]) - 1]
+        p = self.phases[n]
+        window = (p.first + p.dealer.place(leaf, start - p.begin[leaf])) // p.length
         out = []
-        while start < end:
-            cum = self.cum[f][:, queue]
-            base, total = int(self.begin[f, queue]), int(cum[-1])
-            stop = int(self.begin[f + 1, queue]) if f + 1 < len(self.first) else base + total * ((self.last[f] - self.first[f]) // (len(cum) - 1))
-            to = min(end, stop)
-            if to > start and total:
-                a, b = start - base, to - base
-                # edges of windows strictly inside (a, b)
-                lo, hi = a // total, (b - 1) // total
-                edges = (np.arange(lo, hi + 1)[:, None] * total + cum[None, :-1]).ravel()
-                edges = np.unique(edges[(edges > a) & (edges < b)])
-                begins = np.concatenate([[a], edges])
-                ends = np.concatenate([edges, [b]])
-                period, rest = begins // total, begins % total
-                m = np.searchsorted(cum, rest, "right") - 1
-                out.append((begins + base, ends - begins, self.first[f] + period * (len(cum) - 1) + m, self.at[f][m, queue] + rest - cum[m]))
-            start, f = max(start, to), f + 1
-        return [np.concatenate(x) for x in zip(*out)]
+        begun, ahead = self.served(group, leaf, window * p.length)
+        while True:
+            upto, ahead_after = self.served(group, leaf, min((window + 1) * p.length, self.end))
+            to = min(end, upto)
+            if to > start:
+                out.append((start, to - start, window, ahead_after - ahead + start - begun))
+                start = to
+            if start >= end:
+                break
+            if upto - begun <= 1:  # a rare queue: go on where its next id is
+                n = own[bisect_right(own, start, key=lambda n: self.phases[n].begin[leaf]) - 1]
+                q = self.phases[n]
+                window = (q.first + q.dealer.place(leaf, start - q.begin[leaf])) // p.length
+                begun, ahead = self.served(group, leaf, window * p.length)
+            else:
+                window, begun, ahead = window + 1, upto, ahead_after
+        return list(np.array(out, np.int64).reshape(-1, 4).T)
 
 
 def _pieces(shared):
@@ -223,7 +289,7 @@ def pack(docs: DataFrame, weights: dict[str, float] | None = None, vocabulary: s
     sums = encoded.groupBy("queue", "part").agg(F.sum("n").alias("sum"))
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = staged(sums.withColumn("before", F.coalesce(F.sum("sum").over(before), F.lit(0))), "queues")
-    totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("sum").alias("n")).collect()}  # at most MAX_QUEUES rows
+    totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("sum").alias("n")).collect()}  # a row for each source
     names = sorted(totals)
     target = [weights.get(q.removeprefix("="), 0.0) for q in names] if weights else None
     cutter = Cutter(schedule([totals[q] for q in names], target))

@@ -111,6 +111,38 @@ def test_windows_hold_the_target_proportions():
     assert np.abs(np.cumsum(first, axis=0) - np.outer(np.arange(1, len(first) + 1), [1024, 614.4, 409.6])).max() <= 2
 
 
+@pytest.mark.parametrize("weights", [[1.0, 0.52 / 65536, 1.5 / 65536, 1.3], None])
+def test_rare_queues_get_their_fraction_throughout(weights):
+    share = weights or [60_000_000, 31, 92, 77_000_000]
+    totals = [int(150_000_000 * x / sum(share)) for x in share] if weights else share
+    cutter = packing.Cutter(packing.schedule(totals, weights))
+    for q in (1, 2):
+        _, size, window, _ = cutter.cut(q, 0, totals[q])
+        for w in range(0, 60_000, 997):
+            assert abs(size[window < w].sum() - w * packing.LENGTH * share[q] / sum(share)) <= 2, (q, w)
+
+
+def test_carries_go_on_when_queues_run_out():
+    totals = [3000 * (i + 1) for i in range(60)] + [10**6, 1000]
+    weights = [1.0] * 60 + [40.0, 0.02]  # the last gets 0.4 ids of a window, and queues run out every few windows
+    _, size, window, _ = packing.Cutter(packing.schedule(totals, weights)).cut(61, 0, 1000)
+    left, at = list(map(float, totals)), 0.0
+    while left[61] > 1:  # the same without rounding
+        assert abs(size[window < at // packing.LENGTH].sum() - (1000 - left[61])) <= 4
+        step = min(n / w for n, w in zip(left, weights) if n > 0)
+        at += step * sum(w for n, w in zip(left, weights) if n > 0)
+        left = [n - step * w if n - step * w > 1e-6 else 0.0 for n, w in zip(left, weights)]
+
+
+def test_weights_hold_beyond_a_thousand_sources(spark):
+    rows = [(i, f"s{i}", "one two three four five six seven eight nine ten " * (100 if i < 2 else 1)) for i in range(1100)]
+    rows += [(2000 + i, f"s{i}", "one two three four five six seven eight nine ten " * 400) for i in range(2)]
+    out = packing.pack(spark.createDataFrame(rows, "doc_id long, source string, text string"), {"s0": 0.75, "s1": 0.25}).toPandas()
+    first = out[out.sequence_id == 0]
+    assert first.length.sum() == packing.LENGTH and set(first.doc_id % 2000) == {0, 1}
+    assert abs(first[first.doc_id % 2000 == 0].length.sum() - 1536) <= 1
+
+
 def test_odd_rows_are_packed_as_often_as_they_come(odd_docs):
     rows = packing.op2(odd_docs).toPandas()
     want = sum(len(ids_of("word_bpe_49k.json", r.text, 1)) for r in odd_docs.collect())
