@@ -2,8 +2,9 @@
 
 Two first-order models over a 66-symbol alphabet are trained from labelled samples. Random: keys made from SHA-256 in
 several alphabets, and the values that the fixed patterns find. Ordinary: long words of the corpus outside any such
-match, also joined as snake_case and camelCase identifiers. A long token is a secret when its log-likelihood ratio
-passes THRESHOLD; spans that overlap a fixed pattern's match are not added. The classifier's sample is bounded
+match, also joined as snake_case and camelCase identifiers. A token of LEAST_VALUE characters or more is a secret when
+its log-likelihood ratio passes THRESHOLD and EACH; where a fixed pattern's match covers part of a token, the rest is
+judged. The classifier's sample is bounded
 (TRAIN_DOCS documents by a hash of doc_id, MADE_KEYS made keys); every text is scanned whole. DataFrame functions
 only.
 
@@ -25,9 +26,8 @@ ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
 LEAST_VALUE = 12
 KINDS = ("assign", "access", "hex", "random")
-#: Tokens that the models judge: long, of key characters, with a digit or mixed case inside.
-TOKEN = r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{20,}={0,2}(?![A-Za-z0-9+/_-])"
-LIKELY = r"[0-9]|[a-z][A-Z]|[A-Z]{3}"
+#: Tokens that the models judge: runs of key characters, as long as an assigned value must be.
+TOKEN = rf"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{{{LEAST_VALUE},}}={{0,2}}(?![A-Za-z0-9+/_-])"
 SYMBOLS = "abcdefghijklmnopqrstuvwxyzABCDEFGHIJKLMNOPQRSTUVWXYZ0123456789+/_-="
 SIZE = len(SYMBOLS) + 1
 #: Nats that the ratio must reach, in all and for each character.
@@ -119,6 +119,20 @@ def _written(spans: Column) -> Column:
     return F.array_join(F.transform(F.array_sort(spans), lambda s: F.concat_ws(":", F.get(kinds, s["rank"]), s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
+def _outside(tokens: Column, base: Column) -> Column:
+    """The parts of tokens that no base span covers, from LEAST_VALUE characters on."""
+
+    def parts(t: Column) -> Column:
+        near = F.filter(base, lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"]))
+        starts = F.array_distinct(F.concat(F.array(t["start"]), F.transform(near, lambda b: b["end"])))
+        starts = F.filter(starts, lambda p: (p < t["end"]) & ~F.exists(near, lambda b: (b["start"] <= p) & (p < b["end"])))
+        stop = lambda p: F.least(t["end"], F.array_min(F.transform(F.filter(near, lambda b: b["start"] > p), lambda b: b["start"])))
+        part = lambda p: F.struct(p.alias("start"), t["rank"].alias("rank"), stop(p).alias("end"), F.substring(t["value"], p - t["start"] + 1, stop(p) - p).alias("value"))
+        return F.when(F.size(near) == 0, F.array(t)).otherwise(F.transform(starts, part))
+
+    return F.filter(F.flatten(F.transform(tokens, parts)), lambda x: x["end"] - x["start"] >= LEAST_VALUE)
+
+
 def scan(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
     """(doc_id, base, added): spans of the fixed patterns, and those that the models add, as arrays."""
     model = fit(docs) if model is None else model
@@ -131,8 +145,7 @@ def scan(docs: DataFrame, model: list[float] | None = None) -> DataFrame:
         _spans(TOKEN, None, "random").alias("tokens"),
     )
     rows = rows.withColumn("base", F.concat("assign", "access", "hex"))
-    free = F.filter("tokens", lambda t: F.rlike(t["value"], F.lit(LIKELY)) & ~F.exists("base", lambda b: (b["start"] < t["end"]) & (t["start"] < b["end"])))
-    rows = rows.withColumn("free", free)
+    rows = rows.withColumn("free", _outside(F.col("tokens"), F.col("base")))
     score = lambda t: likelihood_ratio(t["value"], model)
     added = F.filter("free", lambda t: score(t) >= F.greatest(F.lit(THRESHOLD), EACH * F.length(t["value"])))
     return rows.select("doc_id", "assign", "access", "hex", "base", F.when(F.size("free") > 0, added).otherwise(F.col("free")).alias("added"))

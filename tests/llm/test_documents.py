@@ -206,6 +206,15 @@ def test_secrets_models_tell_random_from_words(docs, spark):
     assert all(not got[i] for i in range(2, len(keys + names)))
 
 
+def test_secrets_short_and_lower_case_keys_and_rests_of_tokens(docs, spark):
+    lower, short, rest = "qzxvjkwqpfhgtzbxkqjw", "Zk9QpX7vL2mTq8", "Zk9QpX7vL2mTq8RsWc4JhYb3"
+    texts = [f"see {lower} there", f"see {short} there", f"see {rest}_0123456789abcdef_{rest} there"]
+    frame = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {r.doc_id: [(s.start, s.end, s.value) for s in r.added] for r in secret_scan.scan(frame, secret_scan.fit(docs)).collect()}
+    assert got[0] == [(4, 24, lower)] and got[1] == [(4, 18, short)]
+    assert [texts[2][a:b] for a, b, _ in got[2]] == [v for _, _, v in got[2]] == [f"{rest}_", f"_{rest}"]
+
+
 def luhn(s):
     d = [int(c) for c in s if c.isdigit()][::-1]
     return sum(x if i % 2 == 0 else 2 * x - 9 * (x > 4) for i, x in enumerate(d)) % 10 == 0
