@@ -10,14 +10,18 @@ from pyspark.sql import functions as F
 from ..functions import fuzzy, text
 
 
-def jaccard_best(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tokens: str, threshold: float, least: int = 2) -> DataFrame:
-    """Each left row's best right row by Jaccard of token sets (lowest id of equals), at the threshold or above."""
+def jaccard_best(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tokens: str, threshold: float, least: int = 2, apart: bool = False) -> DataFrame:
+    """Each left row's best right row by Jaccard of token sets (lowest id of equals), at the threshold or above.
+
+    apart: both sides are one table, and no row is matched with its own id.
+    """
     a, b = (df.select(F.col(i).alias(n), F.col(tokens).alias(t)) for df, i, n, t in ((left, left_id, "_l", "_lt"), (right, right_id, "_r", "_rt")))
     a, b = a.where(F.size("_lt") >= least), b.where(F.size("_rt") >= least)
     # overlaps are counted by token; sizes ride along, so token arrays are not shuffled again
     x = a.select("_l", F.size("_lt").alias("_ln"), F.explode("_lt").alias("_token"))
     y = b.select("_r", F.size("_rt").alias("_rn"), F.explode("_rt").alias("_token"))
-    shared = x.join(y, "_token").groupBy("_l", "_r").agg(F.count("*").alias("_both"), F.first("_ln").alias("_ln"), F.first("_rn").alias("_rn"))
+    met = x.join(y, "_token").where("_l != _r") if apart else x.join(y, "_token")
+    shared = met.groupBy("_l", "_r").agg(F.count("*").alias("_both"), F.first("_ln").alias("_ln"), F.first("_rn").alias("_rn"))
     scored = shared.withColumn("score", F.col("_both") / (F.col("_ln") + F.col("_rn") - F.col("_both"))).where(F.col("score") >= threshold)
     w = Window.partitionBy("_l").orderBy(F.col("score").desc(), "_r")
     return scored.withColumn("_k", F.row_number().over(w)).where("_k = 1").select(F.col("_l").alias(left_id), F.col("_r").alias(right_id), "score")
@@ -34,14 +38,37 @@ def subset_match(raw: DataFrame, names: DataFrame, raw_id: str, name: str, raw_t
 
 
 def typo_pairs(names: DataFrame, name: str, score: Callable[[Column, Column], Column], low: float = 90.0, length: int = 3) -> DataFrame:
-    """Pairs of distinct names that share a word of four letters or more and are alike but not equal."""
-    unique = names.select(name).distinct()
-    block = unique.select(F.col(name).alias("a"), F.explode(F.filter(text.words(F.col(name)), lambda w: F.length(w) >= 4)).alias("_w"))
-    other = block.withColumnRenamed("a", "b")
-    pairs = block.join(other, "_w").where((F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= length)).select("a", "b").distinct()
+    """Pairs of distinct names that are alike but not equal; skipped only if both have words of four letters or more
+    and share none.
+
+    Names with such a word meet in its block. Those without meet all names of a like length.
+    """
+    long_words = F.filter(text.words(F.col(name)), lambda w: F.length(w) >= 4)
+    unique = names.select(name).where(F.col(name).isNotNull()).distinct().select(F.col(name).alias("a"), long_words.alias("_long"), F.length(name).alias("_n"))
+    block = unique.select("a", F.explode("_long").alias("_w"))
+    shared = block.join(block.withColumnRenamed("a", "b"), "_w").select("a", "b")
+    band = unique.where(F.size("_long") == 0).select("a", F.explode(F.sequence(F.col("_n") - length, F.col("_n") + length)).alias("_n"))
+    rest = band.join(unique.select(F.col("a").alias("b"), "_n"), "_n").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
+    pairs = shared.unionByName(rest).where((F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= length)).distinct()
     return pairs.withColumn("ratio", score(F.col("a"), F.col("b"))).where((F.col("ratio") >= low) & (F.col("ratio") < 100))
 
 
+def best_of_all(names: DataFrame, name: str, low: float) -> DataFrame:
+    """Each name's best other name by token-sort ratio (first of equals), at `low` or above: (name, other, score).
+
+    All pairs are scored whose lengths allow the ratio: 2 * LCS is at most twice the shorter one's length.
+    """
+    from .relational import latest_per_key
+
+    size = F.length(F.trim(F.regexp_replace(F.col(name), r"(?U)[\s\x1c-\x1f]+", " ")))
+    a = names.select(name).where(F.col(name).isNotNull()).distinct().withColumn("_n", size)
+    b = a.select(F.col(name).alias("other"), F.col("_n").alias("_m"))
+    fits = 200 * F.least("_n", "_m") >= low * (F.col("_n") + F.col("_m"))
+    pairs = a.join(b, (F.col(name) != F.col("other")) & fits).select(name, "other")
+    scored = pairs.withColumn("score", fuzzy.scorer(fuzzy.token_sort)(F.col(name), F.col("other"))).where(F.col("score") >= low)
+    return latest_per_key(scored, [name], [F.desc("score"), F.col("other")])
+
+
 def resolve(items: DataFrame, mappings: DataFrame, item_id: str, tiers: list[tuple[str, Column, Column]]) -> DataFrame:
     """Tiered entity resolution by equal keys: the first tier whose key matches gives the target.
 

@@ -128,12 +128,7 @@ def _(t):
 
 @query("JOI_21_fuzzy_join")
 def _(t):
-    names = t.part.select("p_name").distinct()
-    score = fuzzy.scorer(fuzzy.token_sort)
-    a = names.withColumn("w", F.explode(text.words(F.col("p_name"))))
-    b = a.select(F.col("p_name").alias("other"), "w")
-    pairs = a.join(b, "w").where("p_name != other").select("p_name", "other").distinct()
-    return relational.latest_per_key(pairs.withColumn("score", score("p_name", "other")).where("score >= 60"), ["p_name"], [F.desc("score"), F.col("other")])
+    return similarity.best_of_all(t.part, "p_name", 60.0)
 
 
 @query("JOI_22_token_subset", "WITH n AS (SELECT DISTINCT p_name, list_distinct(regexp_extract_all(lower(p_name), '[a-z]+')) t FROM part), r AS (SELECT event_id, list_distinct(regexp_extract_all(lower(x.p_name || ' ' || y.p_type || ' ' || z.p_name), '[a-z]+')) t FROM events JOIN part x ON x.p_partkey = event_id % 200 JOIN part y ON y.p_partkey = event_id % 7 JOIN part z ON z.p_partkey = event_id % 11 WHERE event_id < 300), h AS (SELECT event_id, p_name, len(n.t) k FROM r, n WHERE list_has_all(r.t, n.t)), m AS (SELECT *, max(k) OVER (PARTITION BY event_id) mx FROM h) SELECT event_id, any_value(p_name) AS p_name, any_value(k) AS n_tokens FROM m WHERE k = mx GROUP BY event_id HAVING count(*) = 1")

@@ -87,3 +87,28 @@ def test_typo_pairs_share_a_word(spark, low):
 
     df = spark.createDataFrame([("green pepper",), ("green peppers",), ("yellow squash",)], "n string")
     assert rows(similarity.typo_pairs(df, "n", fuzzy.scorer(fuzzy.indel), low), "a", "b") == [("green pepper", "green peppers")]
+
+
+def test_typo_pairs_skip_only_names_whose_long_words_differ(spark):
+    import re
+
+    from pantrylake.functions import fuzzy
+
+    names = ["cold rod", "old rod", "red ox", "red fox", "bed fox", "warm rod", "warn rod", "ox", "green pepper", "green peppers", "grean peper"]
+    long = lambda n: {w for w in re.findall("[a-z]+", n) if len(w) >= 4}
+    pairs = [(a, b) for a in names for b in names if a < b and abs(len(a) - len(b)) <= 3 and not (long(a) and long(b) and not long(a) & long(b))]
+    want = sorted((a, b) for a, b in pairs if 80 <= fuzzy.indel(a, b) < 100)
+    assert ("cold rod", "old rod") in want
+    assert rows(similarity.typo_pairs(spark.createDataFrame([(n,) for n in names], "n string"), "n", fuzzy.scorer(fuzzy.indel), 80.0), "a", "b") == want
+
+
+def test_fuzzy_join_scores_names_that_share_no_word(spark):
+    from pantrylake.functions import fuzzy
+
+    names = ["green pepper", "gren peper", "peppers  greens", "red ox", "yellow squash", "x"]
+    want = []
+    for a in names:
+        found = sorted((-fuzzy.token_sort(a, b), b) for b in names if a != b and fuzzy.token_sort(a, b) >= 60)
+        want += [(a, found[0][1])] if found else []
+    assert ("gren peper", "green pepper") in want
+    assert rows(similarity.best_of_all(spark.createDataFrame([(n,) for n in names], "n string"), "n", 60.0), "n", "other") == sorted(want)
