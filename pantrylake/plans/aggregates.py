@@ -203,6 +203,14 @@ def _(t):
     return spine.join(s, "month", "left").select(F.col("month").cast("string").alias("month"), F.coalesce("spend", F.lit(0.0)).alias("spend"))
 
 
+@query("AGG_31_month_series_by_type", "WITH {LINES}, m AS (SELECT unnest(generate_series((SELECT date_trunc('month', min(day))::DATE FROM lines), (SELECT max(day) FROM lines), INTERVAL 1 MONTH))::DATE AS month), ty AS (SELECT DISTINCT p_type FROM part), s AS (SELECT p_type, date_trunc('month', day)::DATE AS month, sum(ext)::DOUBLE AS spend FROM lines JOIN part ON p_partkey = l_partkey GROUP BY 1, 2) SELECT p_type, CAST(m.month AS VARCHAR) AS month, coalesce(spend, 0) AS spend FROM m CROSS JOIN ty LEFT JOIN s USING (p_type, month)")
+def _(t):
+    lines = t.lines
+    spine = relational.month_spine(lines, "day").crossJoin(t.part.select("p_type").distinct())
+    s = lines.join(t.part, F.col("p_partkey") == F.col("l_partkey")).groupBy("p_type", F.trunc("day", "month").alias("month")).agg(money("ext").alias("spend"))
+    return spine.join(s, ["p_type", "month"], "left").select("p_type", F.col("month").cast("string").alias("month"), F.coalesce("spend", F.lit(0.0)).alias("spend"))
+
+
 @query("AGG_32_cube_and_sketch", "SELECT l_returnflag, l_linestatus, count(*) AS n FROM lineitem GROUP BY CUBE (l_returnflag, l_linestatus)")
 def _(t):
     return t.lineitem.cube("l_returnflag", "l_linestatus").agg(F.count("*").alias("n"))

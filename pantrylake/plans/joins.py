@@ -131,17 +131,26 @@ def _(t):
     return similarity.best_of_all(t.part, "p_name", 60.0)
 
 
-@query("JOI_22_token_subset", "WITH n AS (SELECT DISTINCT p_name, list_distinct(regexp_extract_all(lower(p_name), '[a-z]+')) t FROM part), r AS (SELECT event_id, list_distinct(regexp_extract_all(lower(x.p_name || ' ' || y.p_type || ' ' || z.p_name), '[a-z]+')) t FROM events JOIN part x ON x.p_partkey = event_id % 200 JOIN part y ON y.p_partkey = event_id % 7 JOIN part z ON z.p_partkey = event_id % 11 WHERE event_id < 300), h AS (SELECT event_id, p_name, len(n.t) k FROM r, n WHERE list_has_all(r.t, n.t)), m AS (SELECT *, max(k) OVER (PARTITION BY event_id) mx FROM h) SELECT event_id, any_value(p_name) AS p_name, any_value(k) AS n_tokens FROM m WHERE k = mx GROUP BY event_id HAVING count(*) = 1")
-def _(t):
+def _token_subset(t, events):
     names = t.part.select("p_name").distinct().withColumn("t", text.words(F.col("p_name")))
     p = lambda m, col, name: t.part.select(F.col("p_partkey").alias(f"k{m}"), F.col(col).alias(name))
-    raw = t.events.where("event_id < 300").select("event_id")
+    raw = events.select("event_id")
     for m, col, name in ((200, "p_name", "x"), (7, "p_type", "y"), (11, "p_name", "z")):
         raw = raw.join(p(m, col, name), F.col("event_id") % m == F.col(f"k{m}")).drop(f"k{m}")
     raw = raw.select("event_id", text.words(F.concat_ws(" ", "x", "y", "z")).alias("rt"))
     return similarity.subset_match(raw, names, "event_id", "p_name", "rt", "t")
 
 
+@query("JOI_22_token_subset", "WITH n AS (SELECT DISTINCT p_name, list_distinct(regexp_extract_all(lower(p_name), '[a-z]+')) t FROM part), r AS (SELECT event_id, list_distinct(regexp_extract_all(lower(x.p_name || ' ' || y.p_type || ' ' || z.p_name), '[a-z]+')) t FROM events JOIN part x ON x.p_partkey = event_id % 200 JOIN part y ON y.p_partkey = event_id % 7 JOIN part z ON z.p_partkey = event_id % 11 WHERE event_id < 300), h AS (SELECT event_id, p_name, len(n.t) k FROM r, n WHERE list_has_all(r.t, n.t)), m AS (SELECT *, max(k) OVER (PARTITION BY event_id) mx FROM h) SELECT event_id, any_value(p_name) AS p_name, any_value(k) AS n_tokens FROM m WHERE k = mx GROUP BY event_id HAVING count(*) = 1")
+def _(t):
+    return _token_subset(t, t.events.where("event_id < 300"))
+
+
+@query("JOI_22_token_subset_all", "WITH n AS (SELECT DISTINCT p_name, list_distinct(regexp_extract_all(lower(p_name), '[a-z]+')) t FROM part), r AS (SELECT event_id, list_distinct(regexp_extract_all(lower(x.p_name || ' ' || y.p_type || ' ' || z.p_name), '[a-z]+')) t FROM events JOIN part x ON x.p_partkey = event_id % 200 JOIN part y ON y.p_partkey = event_id % 7 JOIN part z ON z.p_partkey = event_id % 11), h AS (SELECT event_id, p_name, len(n.t) k FROM r, n WHERE list_has_all(r.t, n.t)), m AS (SELECT *, max(k) OVER (PARTITION BY event_id) mx FROM h) SELECT event_id, any_value(p_name) AS p_name, any_value(k) AS n_tokens FROM m WHERE k = mx GROUP BY event_id HAVING count(*) = 1")
+def _(t):
+    return _token_subset(t, t.events)
+
+
 @query("JOI_23_typo_pairs")
 def _(t):
     return similarity.typo_pairs(t.part, "p_name", fuzzy.scorer(fuzzy.indel), low=80.0)
