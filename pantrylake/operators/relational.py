@@ -90,3 +90,22 @@ def day_spine(df: DataFrame, day: str) -> DataFrame:
 def not_true(condition: Column) -> Column:
     """Negation that keeps rows whose condition is null."""
     return ~F.coalesce(condition, F.lit(False))
+
+
+def peer_count(rows: DataFrame, key: str, value: str, low: float, high: float) -> DataFrame:
+    """(key, value, peers) for each row: other rows of its key from low to high times its value and not equal to it.
+
+    Equal values are counted first; then one sorted pass over values and bounds, so that no row holds a whole key.
+    """
+    keyed = rows.select(F.col(key).alias("_key"), F.col(value).cast("double").alias("_own"))
+    n = keyed.groupBy("_key", "_own").agg(F.count("*").alias("_n")).where("_key IS NOT NULL AND _own IS NOT NULL")
+    # of equal places the lower bound comes first and the upper bound last
+    point = lambda at, kind, count: F.struct(at.alias("at"), F.lit(kind).alias("kind"), count.alias("count"))
+    own, none = F.col("_own"), F.lit(0).cast("long")
+    marks = n.select("_key", "_own", F.explode(F.array(point(low * own, 0, none), point(own, 1, F.col("_n")), point(high * own, 2, none))).alias("_p"))
+    w = Window.partitionBy("_key").orderBy("_p.at", "_p.kind").rowsBetween(Window.unboundedPreceding, 0)
+    run = marks.withColumn("_run", F.sum("_p.count").over(w))
+    at = lambda kind: F.max(F.when(F.col("_p.kind") == kind, F.col("_run")))
+    inside = at(2) - at(0) - F.max("_p.count")
+    near = run.groupBy("_key", "_own").agg(F.when(F.col("_own") >= 0, inside).otherwise(0).alias("_peers"))
+    return keyed.join(near, ["_key", "_own"], "left").select(F.col("_key").alias(key), F.col("_own").alias(value), F.coalesce("_peers", F.lit(0)).cast("long").alias("peers"))

@@ -49,11 +49,12 @@ def _(t):
 
 @query("WIN_08_peer_count", "WITH {LINES}, x AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, ext, l_quantity) id, l_partkey, price FROM lines WHERE l_partkey < 40) SELECT a.l_partkey, a.price, count(b.id) AS peers FROM x a LEFT JOIN x b ON b.l_partkey = a.l_partkey AND b.id <> a.id AND b.price <> a.price AND b.price BETWEEN 0.7 * a.price AND 1.5 * a.price GROUP BY a.id, a.l_partkey, a.price")
 def _(t):
-    # a sorted list of prices by part serves every row of it: no self join
-    x = t.lines.where("l_partkey < 40").select("l_partkey", "price")
-    peers = x.groupBy("l_partkey").agg(F.collect_list("price").alias("all"))
-    near = F.filter("all", lambda p: (p != F.col("price")) & p.between(0.7 * F.col("price"), 1.5 * F.col("price")))
-    return x.join(peers, "l_partkey").select("l_partkey", "price", F.size(near).cast("long").alias("peers"))
+    return relational.peer_count(t.lines.where("l_partkey < 40"), "l_partkey", "price", 0.7, 1.5)
+
+
+@query("WIN_08_peer_count_all", "WITH {LINES}, x AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, ext, l_quantity) id, l_partkey, price FROM lines) SELECT a.l_partkey, a.price, count(b.id) AS peers FROM x a LEFT JOIN x b ON b.l_partkey = a.l_partkey AND b.id <> a.id AND b.price <> a.price AND b.price BETWEEN 0.7 * a.price AND 1.5 * a.price GROUP BY a.id, a.l_partkey, a.price")
+def _(t):
+    return relational.peer_count(t.lines, "l_partkey", "price", 0.7, 1.5)
 
 
 @query("WIN_09_share_of_total", "SELECT p_brand, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 2) AS share FROM part GROUP BY 1")

@@ -112,3 +112,10 @@ def test_fuzzy_join_scores_names_that_share_no_word(spark):
         want += [(a, found[0][1])] if found else []
     assert ("gren peper", "green pepper") in want
     assert rows(similarity.best_of_all(spark.createDataFrame([(n,) for n in names], "n string"), "n", 60.0), "n", "other") == sorted(want)
+
+
+def test_peer_count_against_all_pairs(spark):
+    rows_in = [(1, p) for p in (1.0, 0.7, 1.5, 1.5, 1.0, 2.1, 0.69, 0.0, 0.0, -1.0)] * 2 + [(2, 1.0), (2, None), (None, 1.0)]
+    got = rows(relational.peer_count(spark.createDataFrame(rows_in, "k int, p double"), "k", "p", 0.7, 1.5).na.fill({"k": -9, "p": -9.0}), "k", "p", "peers")
+    near = lambda k, p: sum(k == j and None not in (k, p, q) and q != p and 0.7 * p <= q <= 1.5 * p for j, q in rows_in)
+    assert got == sorted((-9 if k is None else k, -9.0 if p is None else p, near(k, p)) for k, p in rows_in)
