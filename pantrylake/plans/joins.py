@@ -126,6 +126,12 @@ def _(t):
     return similarity.jaccard_best(left, right, "raw_id", "name_id", "tok", 0.65)
 
 
+@query("JOI_19_jaccard_all_parts", """WITH w AS (SELECT p_partkey, list_distinct(regexp_extract_all(lower(p_name), '[a-z]+')) t FROM part), a AS (SELECT p_partkey, unnest(t) tok, len(t) n FROM w), s AS (SELECT a.p_partkey AS l, b.p_partkey AS r, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS score FROM a JOIN a AS b USING (tok) WHERE a.n >= 2 AND b.n >= 2 AND a.p_partkey <> b.p_partkey GROUP BY 1, 2) SELECT l AS raw_id, r AS name_id, score FROM s WHERE score >= 0.65 QUALIFY row_number() OVER (PARTITION BY l ORDER BY score DESC, r) = 1""")
+def _(t):
+    p = t.part.withColumn("tok", text.words(F.col("p_name")))
+    return similarity.jaccard_best(p.withColumnRenamed("p_partkey", "raw_id"), p.withColumnRenamed("p_partkey", "name_id"), "raw_id", "name_id", "tok", 0.65, apart=True)
+
+
 @query("JOI_21_fuzzy_join")
 def _(t):
     return similarity.best_of_all(t.part, "p_name", 60.0)
