@@ -12,8 +12,11 @@ dealt into squares of tiles of TILE rows.
 
 Defined cases: a vector that is null, empty, zero or has null or non-finite components, a null label, or a null
 vec_id links with nothing; rows that repeat a vector are linked copies; vectors of different length are never
-compared; ties of the component go to the smallest vec_id; an empty table gives no rows. Columns other than vec_id,
-embedding and label are not read.
+compared; rows that share a vec_id but not the vector each have links of their own; ties of the component go to the
+smallest vec_id; an empty table gives no rows. Columns other than vec_id, embedding and label are not read.
+
+A table entry that n distinct vectors share is compared in (n / TILE)^2 / 2 squares, so a crowd of n near copies with
+distinct vectors sends n^2 / TILE rows.
 """
 
 from __future__ import annotations
@@ -24,7 +27,7 @@ from collections.abc import Iterator
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import hash_sample, join_classes, staged
 from .components import Forest, components
 
 THRESHOLD, RECALL = 0.93, 0.995
@@ -135,28 +138,33 @@ def linked(vectors: DataFrame) -> DataFrame:
     good = F.col("vec_id").isNotNull() & F.col("label").isNotNull() & F.col("v").isNotNull() & (F.size("v") > 0) & F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) < float("inf"))) & (size > 0)
     rows = rows.withColumn("good", F.coalesce(good, F.lit(False)))
     useful = rows.where("good")
-    points = staged(useful.groupBy("label", "v").agg(F.min("vec_id").alias("node"), F.count("*").alias("copies")), "points")
+    points = useful.groupBy("label", "v").agg(F.min("vec_id").alias("least"), F.count("*").alias("copies"))
+    # a number for each distinct vector, fixed by being written
+    points = staged(points.withColumn("node", F.monotonically_increasing_id()), "points")
     spaces = points.groupBy("label", F.size("v").alias("d")).agg(F.count("*").alias("n"))
-    most = spaces.agg(F.max("n").alias("n"), F.max("d").alias("d")).first()
+    most = spaces.agg(F.max("n").alias("n"), F.max("d").alias("d"), F.sum("n").alias("all")).first()
     if most["n"] is None:
         return rows.select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"), F.col("vec_id").isNotNull().alias("kept"))
-    found = _links(points, int(most["n"]), int(most["d"]))
+    found = _links(points, int(most["n"]), int(most["all"]))
     counts = found.where("kind = 0").groupBy(F.col("a").alias("node")).agg(F.sum("b").alias("others"))
     of = components(found.where("kind = 1"), "a", "b")
-    facts = points.join(counts, "node", "left").join(of, "node", "left")
-    facts = facts.select("label", "v", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), F.coalesce("component", "node").alias("component_id"))
-    members = useful.select("vec_id", "label", "v").join(facts, ["label", "v"]).select("vec_id", "n_links", "component_id")
+    facts = points.select("node", "least", "copies").join(counts, "node", "left").join(of, "node", "left")
+    facts = staged(facts.select("node", "least", "copies", "others", F.coalesce("component", "node").alias("group")), "facts")
+    roots = facts.groupBy("group").agg(F.min("least").alias("component_id"), F.count("*").alias("_n"))
+    facts = join_classes(facts, roots, ["group"], int(most["all"])).select("node", "copies", (F.col("copies") - 1 + F.coalesce("others", F.lit(0))).alias("n_links"), "component_id")
+    facts = points.select("node", "label", "v").join(facts, "node").select("label", "v", "n_links", "component_id", F.col("copies").alias("_n"))
+    members = join_classes(useful.select("vec_id", "label", "v"), facts, ["label", "v"], useful.count(), "inner").select("vec_id", "n_links", "component_id")
     alone = rows.where("NOT good").select("vec_id", F.lit(0).cast("long").alias("n_links"), F.col("vec_id").alias("component_id"))
     return members.unionByName(alone).withColumn("kept", F.coalesce(F.col("vec_id") == F.col("component_id"), F.lit(False)))
 
 
-def _links(points: DataFrame, n: int, d: int) -> DataFrame:
-    """(kind, a, b) from all tables; n: rows of the largest label, d: the longest vector."""
+def _links(points: DataFrame, n: int, total: int) -> DataFrame:
+    """(kind, a, b) from all tables; n: rows of the largest label, total: rows of points."""
     import numpy as np
 
     spark = points.sparkSession
-    unit = points.select("label", "node", "copies", _unit(F.col("v")).alias("v"))
-    chosen = unit.orderBy(F.xxhash64("node"), "node").limit(FIT_ROWS).select("label", "v").toPandas()
+    unit = staged(points.select("label", "node", "copies", _unit(F.col("v")).alias("v")), "unit")
+    chosen = hash_sample(unit, FIT_ROWS, total, "node").orderBy(F.xxhash64("node"), "node").limit(FIT_ROWS).select("v").toPandas()
     width = max(4, min(24, math.ceil(math.log2(max(2, n / ENTRY)))))
     models = {}
     for dim, part in chosen.groupby(chosen["v"].map(len)):

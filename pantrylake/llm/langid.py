@@ -3,12 +3,15 @@
 Each language has a variable-order context tree (up to ORDER bytes of context) with frozen counts. A byte costs its
 exact code length: in the longest known context, seen bytes have n/(N+d), the escape has d/(N+d) for d distinct bytes
 seen N times, and after an escape the bytes already ruled out are excluded from the shorter context; after the empty
-context all 256 bytes are alike. The language with the shortest code wins. The trees are laid out as one table of
-code lengths by (context, byte, language), so a text is scored by two array look-ups for each byte.
+context all 256 bytes are alike. The language with the shortest code wins.
 
-Training reads labelled documents that are not held out: per language at most TRAIN_DOCS of them, chosen by a hash of
-doc_id, and of these as many as fit in TRAIN_BYTES (documented bounds of the classifier's sample). Every document is
-scored over its whole text.
+Every context met in training is kept. For each order there is a bitmap of the bytes met in each context by any
+language, their code lengths under all languages, and the escape's; so a byte costs one look-up where it was met, and
+one more for each escape.
+
+Training reads labelled documents that are not held out: per language at most TRAIN_DOCS of them in the order of a hash,
+up to TRAIN_BYTES in all; documents beyond that size alone are not training documents (documented bounds of the
+classifier's sample; no text is cut). Every document is scored over its whole text.
 
 Defined cases: null text or text without a letter is "und" with score 0; a null lang is never learned; with nothing
 to learn from, every document is "und"; equal code lengths go to the first language in alphabetical order; repeated
@@ -24,8 +27,6 @@ from pyspark.sql import functions as F
 
 ORDER = 3
 TRAIN_DOCS, TRAIN_BYTES = 400, 400_000
-#: Contexts of the longest order that are kept: those met most often, at most this many.
-LONG_CONTEXTS = 12_000
 #: Context before the first byte of a text.
 START = 10
 SCORED_AT_ONCE = 1 << 19
@@ -40,19 +41,58 @@ def held_out() -> Column:
 
 def training_sample(docs: DataFrame) -> DataFrame:
     """(lang, text): the bounded sample that the trees are built from."""
-    labelled = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang")).where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull())
-    order = [F.xxhash64("doc_id"), F.col("doc_id"), F.xxhash64("text")]
-    ids = labelled.select("lang", "doc_id", F.xxhash64("text").alias("_h"), F.octet_length("text").alias("_n"))
-    first = Window.partitionBy("lang").orderBy(F.xxhash64("doc_id"), "doc_id", "_h")
-    ids = ids.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= TRAIN_DOCS)
-    ids = ids.withColumn("_sum", F.sum("_n").over(first.rowsBetween(Window.unboundedPreceding, 0))).where((F.col("_sum") <= TRAIN_BYTES) | (F.col("_k") == 1))
-    keys = ids.select(F.col("lang").alias("_l"), F.col("doc_id").alias("_d"), "_h", "_k").distinct()
-    picked = labelled.join(F.broadcast(keys), (F.col("lang") == F.col("_l")) & F.col("doc_id").eqNullSafe(F.col("_d")) & (F.xxhash64("text") == F.col("_h")))
-    return picked.orderBy("lang", *order).select("lang", F.expr(f"substr(text, 1, {2 * TRAIN_BYTES})").alias("text"))
+    labelled = docs.select("doc_id", F.col("text").cast("string").alias("text"), F.col("lang").cast("string").alias("lang"))
+    labelled = labelled.where(~held_out() & F.col("lang").isNotNull() & F.col("text").isNotNull() & (F.octet_length("text") <= TRAIN_BYTES))
+    sizes = labelled.groupBy("lang").agg(F.count("*").alias("n")).collect()  # a row for each language
+    if not sizes:
+        return labelled.select("lang", "text")
+    # a hash cut leaves a few times what is wanted of each language, however many documents there are
+    cuts = F.create_map(*[F.lit(x) for r in sizes for x in (r["lang"], min((1 << 63) - 1, (1 << 63) * 4 * TRAIN_DOCS // r["n"]))])
+    some = labelled.withColumn("_o", F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1)).where(F.col("_o") <= F.element_at(cuts, F.col("lang")))
+    first = Window.partitionBy("lang").orderBy("_o", "doc_id", "text")
+    some = some.withColumn("_k", F.row_number().over(first)).where(F.col("_k") <= TRAIN_DOCS)
+    some = some.withColumn("_sum", F.sum(F.octet_length("text")).over(first.rowsBetween(Window.unboundedPreceding, 0))).where(F.col("_sum") <= TRAIN_BYTES)
+    return some.select("lang", "text")
+
+
+class Layer:
+    """The contexts of one order: which symbols follow them, and code lengths in bits by language."""
+
+    def __init__(self, order: int, size: int, codes: list, counts: list, shorter):
+        """codes, counts: by language, the grams (context * size + symbol) and how often; shorter: lengths one order down."""
+        import numpy as np
+
+        grams = np.unique(np.concatenate(codes))
+        context, sym = grams // size, grams % size
+        contexts, row = np.unique(context, return_inverse=True)
+        self.row_of = np.full(size**order, -1, np.int32)
+        self.row_of[contexts] = np.arange(len(contexts))
+        words = (size + 63) // 64
+        bits = np.zeros((len(contexts), words), np.uint64)
+        np.bitwise_or.at(bits, (row, sym >> 6), np.uint64(1) << (sym & 63).astype(np.uint64))
+        per_word = np.bitwise_count(bits).astype(np.int64).ravel()
+        self.bits, self.words = bits.ravel(), words
+        self.before = (np.cumsum(per_word) - per_word).astype(np.int32)  # grams are sorted as the bitmap's bits are
+        below = shorter(context % size ** (order - 1), sym)
+        self.lengths = np.empty((len(grams), len(codes)), np.float32)
+        self.escape = np.zeros((len(contexts), len(codes)), np.float32)
+        for which, (own, n) in enumerate(zip(codes, counts)):
+            seen = np.zeros(len(grams))
+            seen[np.searchsorted(grams, own)] = n
+            met = seen > 0
+            total, distinct = np.bincount(row, seen, len(contexts)), np.bincount(row, met, len(contexts))
+            left = 1 - np.bincount(row, np.where(met, np.exp2(-below[:, which]), 0), len(contexts))
+            escapes = np.where(left > 1e-9, distinct, 0)
+            with np.errstate(divide="ignore", invalid="ignore"):
+                out = np.where(total > 0, np.log2(total + escapes) - np.log2(escapes) + np.log2(np.maximum(left, 1e-9)), 0)
+                out = np.minimum(out, 40)
+                own_length = np.log2((total + escapes)[row]) - np.log2(seen)
+            self.escape[:, which] = out
+            self.lengths[:, which] = np.where(met, own_length, out[row] + below[:, which])
 
 
 class Trees:
-    """Code lengths of all languages' context trees, by context and byte."""
+    """Code lengths of all languages' context trees."""
 
     def __init__(self, samples: dict[str, list[bytes]]):
         import numpy as np
@@ -68,68 +108,45 @@ class Trees:
         self.size = a = len(known) + 1  # the last symbol stands for all bytes never met
         self.symbol = np.full(256, a - 1, np.int32)
         self.symbol[known] = np.arange(a - 1)
-        grams = {}
-        for lang in self.langs:
-            runs = [self.symbol[t].astype(np.int64) for t in texts[lang]]
-            code = [sum((r[ORDER - k : len(r) - k] * a**k for k in range(ORDER + 1)), np.zeros(max(0, len(r) - ORDER), np.int64)) for r in runs]
-            grams[lang] = np.unique(np.concatenate(code) if code else np.zeros(0, np.int64), return_counts=True)
-        # contexts of each order are numbered by the symbols before, the nearest last
-        total = np.zeros(a**ORDER, np.int64)
-        for g, n in grams.values():
-            np.add.at(total, g // a, n)
-        long = np.nonzero(total)[0]
-        long = np.sort(long[np.argsort(-total[long], kind="stable")][:LONG_CONTEXTS])
-        rows = [np.zeros(1, np.int64)]
-        for k in range(1, ORDER):
-            rows.append(np.unique(np.concatenate([(g // a) % a**k for g, _ in grams.values()] or [np.zeros(0, np.int64)])))
-        rows.append(long)
-        first = np.cumsum([0] + [len(x) for x in rows])
-        row_of = np.zeros(a**ORDER, np.int32)
-        every = np.arange(a**ORDER)
-        for k in range(1, ORDER + 1):
-            at = np.searchsorted(rows[k], every % a**k) if len(rows[k]) else np.zeros(len(every), np.int64)
-            at = np.minimum(at, max(len(rows[k]) - 1, 0))
-            hit = rows[k][at] == every % a**k if len(rows[k]) else np.zeros(len(every), bool)
-            row_of[hit] = first[k] + at[hit]
-        self.row_of = row_of
-        bits = np.empty((first[-1], a, len(self.langs)), np.float32)
-        flat = np.full(a, 1 / 256)
-        flat[a - 1] = (256 - (a - 1)) / 256
-        for which, lang in enumerate(self.langs):
-            g, n = grams[lang]
-            below = None
-            for k in range(ORDER + 1):
-                counts = np.zeros((len(rows[k]), a))
-                context, sym = (g // a) % a**k, g % a
-                at = np.minimum(np.searchsorted(rows[k], context), max(len(rows[k]) - 1, 0))
-                if len(rows[k]):
-                    hit = rows[k][at] == context
-                    np.add.at(counts, (at[hit], sym[hit]), n[hit])
-                if k == 0:
-                    shorter = flat[None, :]
-                else:
-                    up = np.searchsorted(rows[k - 1], rows[k] % a ** (k - 1)) if k > 1 else np.zeros(len(rows[k]), np.int64)
-                    shorter = below[up]
-                below = self._row(counts, shorter)
-                bits[first[k] : first[k + 1], :, which] = -np.log2(below)
-        bits[:, a - 1, :] += np.log2(max(1, 256 - (a - 1)))
-        self.bits = bits.reshape(first[-1] * a, len(self.langs))
-
-    @staticmethod
-    def _row(counts, shorter):
-        """Probabilities of all symbols in contexts with these counts, escaping to the shorter contexts'."""
+        self.unmet = float(np.log2(max(1, 256 - (a - 1))))
+        self.layers: list[Layer] = []
+        flat = np.full(a, 8.0)
+        flat[a - 1] = 8.0 - self.unmet if a <= 256 else 40.0
+        self.flat = np.repeat(flat[:, None], len(self.langs), axis=1).astype(np.float32)
+        if not self.langs:
+            return
+        for k in range(ORDER + 1):
+            grams = {}
+            for lang in self.langs:
+                runs = [self.symbol[t].astype(np.int64) for t in texts[lang]]
+                code = [sum((r[ORDER - j : len(r) - j] * a**j for j in range(k + 1)), np.zeros(len(r) - ORDER, np.int64)) for r in runs]
+                grams[lang] = np.unique(np.concatenate(code) if code else np.zeros(0, np.int64), return_counts=True)
+            shorter = (lambda context, sym: self._lengths(context, sym)) if k else (lambda context, sym: self.flat[sym])
+            self.layers.append(Layer(k, a, [grams[x][0] for x in self.langs], [grams[x][1] for x in self.langs], shorter))
+
+    def _lengths(self, context, sym):
+        """Code length of each symbol after its context under each language, from the longest order there is."""
         import numpy as np
 
-        met = counts > 0
-        n, d = counts.sum(axis=1, keepdims=True), met.sum(axis=1, keepdims=True)
-        rest = np.where(met, 0, shorter)
-        left = rest.sum(axis=1, keepdims=True)
-        full = (left <= 0) | (d == 0)
-        escape = np.where(full, 0, d)
-        with np.errstate(divide="ignore", invalid="ignore"):
-            seen = np.where(n > 0, counts / np.maximum(n + escape, 1), 0)
-            over = np.where(d == 0, shorter, np.where(left > 0, rest / left * escape / np.maximum(n + escape, 1), 0))
-        return np.maximum(np.where(met, seen, over), 1e-12)
+        cost = np.zeros((len(sym), len(self.langs)), np.float32)
+        open_ = np.arange(len(sym))
+        for k in range(len(self.layers) - 1, -1, -1):
+            layer, s = self.layers[k], sym[open_]
+            row = layer.row_of[context[open_] % self.size**k].astype(np.int64)
+            known = row >= 0
+            at = np.maximum(row, 0) * layer.words + (s >> 6)
+            bit = (s & 63).astype(np.uint64)
+            if not len(layer.bits):
+                continue
+            word = layer.bits[at]
+            hit = known & ((word >> bit) & np.uint64(1)).astype(bool)
+            rank = layer.before[at[hit]] + np.bitwise_count(word[hit] & ((np.uint64(1) << bit[hit]) - np.uint64(1)))
+            cost[open_[hit]] += layer.lengths[rank]
+            escaped = known & ~hit
+            cost[open_[escaped]] += layer.escape[row[escaped]]
+            open_ = open_[~hit]
+        cost[open_] += self.flat[sym[open_]]
+        return cost
 
     def lengths(self, data, edges):
         """Code length in bits of each text data[edges[i]:edges[i+1]] under each language."""
@@ -152,7 +169,9 @@ class Trees:
                     fresh = fresh[(fresh >= at) & (fresh < to)]
                     before[fresh - at] = pads
                 context += before * a ** (k - 1)
-            cost = self.bits[self.row_of[context].astype(np.int64) * a + sym[ORDER:]]
+            own = sym[ORDER:]
+            cost = self._lengths(context, own)
+            cost[own == a - 1] += self.unmet
             first = int(np.searchsorted(edges, at, "right")) - 1
             last = int(np.searchsorted(edges, to, "left"))
             cuts = np.clip(edges[first:last], at, to) - at
@@ -169,17 +188,33 @@ def has_letter(raw: bytes) -> bool:
 
 def fit(docs: DataFrame) -> Trees:
     samples: dict[str, list[bytes]] = {}
-    for lang, text in training_sample(docs).toLocalIterator():
-        held = samples.setdefault(lang, [])
-        left = TRAIN_BYTES - sum(map(len, held))
-        if left > 0 and text:
-            held.append(text.encode()[:left])
+    for lang, text in training_sample(docs).orderBy("lang", F.xxhash64("text"), "text").toLocalIterator():  # bounded by TRAIN_BYTES a language
+        samples.setdefault(lang, []).append(text.encode())
     return Trees(samples)
 
 
+def _predictions(trees: Trees, column):
+    """Language and score of each text of an Arrow column."""
+    import numpy as np
+
+    from .pieces import text_bytes
+
+    data, edges = text_bytes(column)
+    at = edges.tolist()
+    able = np.array([bool(trees.langs) and has_letter(data[i:j].tobytes()) for i, j in zip(at, at[1:])], bool)
+    names, scores = np.full(len(able), "und", object), np.zeros(len(able))
+    if able.any():
+        bits = trees.lengths(data, edges)
+        n = np.maximum(np.diff(edges), 1)[:, None]
+        surplus = (bits - bits.min(axis=1, keepdims=True)) / np.sqrt(n)  # tempered: bytes are not independent
+        weight = np.exp2(-np.minimum(surplus, 900))
+        names[able] = np.array(trees.langs, object)[bits.argmin(axis=1)][able]
+        scores[able] = (1 / weight.sum(axis=1))[able]
+    return names, scores
+
+
 def identify(docs: DataFrame, trees: Trees | None = None) -> DataFrame:
     """docs with lang_pred and score added."""
-    import pyarrow as pa
     from pyspark.sql.types import DoubleType, StringType, StructField, StructType
 
     trees = fit(docs) if trees is None else trees
@@ -187,23 +222,12 @@ def identify(docs: DataFrame, trees: Trees | None = None) -> DataFrame:
     schema = StructType([*docs.schema.fields, StructField("lang_pred", StringType()), StructField("score", DoubleType())])
 
     def predict(batches: Iterator) -> Iterator:
-        import numpy as np
+        import pyarrow as pa
 
-        from .pieces import slices, text_bytes
+        from .pieces import slices
 
-        model = shared.value
         for batch in slices(batches):
-            data, edges = text_bytes(batch.column("text"))
-            at = edges.tolist()
-            able = np.array([bool(model.langs) and has_letter(data[i:j].tobytes()) for i, j in zip(at, at[1:])], bool)
-            names, scores = np.full(len(able), "und", object), np.zeros(len(able))
-            if able.any():
-                bits = model.lengths(data, edges)
-                n = np.maximum(np.diff(edges), 1)[:, None]
-                surplus = (bits - bits.min(axis=1, keepdims=True)) / np.sqrt(n)  # tempered: bytes are not independent
-                weight = np.exp2(-np.minimum(surplus, 900))
-                names[able] = np.array(model.langs, object)[bits.argmin(axis=1)][able]
-                scores[able] = (1 / weight.sum(axis=1))[able]
+            names, scores = _predictions(shared.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], [*batch.schema.names, "lang_pred", "score"])
 
     return docs.mapInArrow(predict, schema)
@@ -211,9 +235,19 @@ def identify(docs: DataFrame, trees: Trees | None = None) -> DataFrame:
 
 def keep_known(docs: DataFrame) -> DataFrame:
     """Documents whose language is recognised, with the columns they came with (whatever their names)."""
-    held = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").cast("string").alias("text"))
-    found = identify(held, fit(docs.select("doc_id", "text", "lang")))
-    return found.where((F.col("lang_pred") != "und") & (F.col("score") >= KEEP_SCORE)).select("_row.*")
+    shared = docs.sparkSession.sparkContext.broadcast(fit(docs.select("doc_id", "text", "lang")))
+
+    def known(batches: Iterator) -> Iterator:
+        import numpy as np
+        import pyarrow as pa
+
+        from .pieces import slices
+
+        for batch in slices(batches):
+            names, scores = _predictions(shared.value, batch.column("text"))
+            yield batch.filter(pa.array((names != "und") & (np.asarray(scores) >= KEEP_SCORE)))
+
+    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(known, docs.withColumn("text", F.col("text").cast("string")).schema)
 
 
 def op7(docs: DataFrame) -> DataFrame:

@@ -3,15 +3,17 @@
 The ids of all queues form one stream that is cut into windows. A binary tree over the queues deals the stream: of the
 first m ids that reach a node, its left half gets floor((m * left weight + carry) / weight), in integers, so every count
 is known in closed form, never falls, and stays within an id a level of its exact share, however small the share is.
-Every partition cuts its own documents without hearing from the others. When a queue runs out, its weight becomes 0 and
-the others' carries go on. All windows but the last are full.
+Every partition cuts its own documents without hearing from the others. When a queue runs out, its weight becomes 0: the
+nodes on its path get a new version from that id on, which takes over the deficit (the carry), and all other nodes stay
+as they are. So the schedule of n queues takes n log n numbers. All windows but the last are full.
 
 Documents are encoded once into a staged table; its tasks number their rows, so a document's place in its queue is the
 queue's sum over earlier tasks plus its place within the task. Only sums by (queue, task) are shuffled.
 
 Defined cases: a null text counts as empty and is just its end id; a null source is a queue of its own; repeated rows
 are packed as often as they come; every source has its own queue, and the driver holds one total for each; an empty
-table gives no rows. Columns other than doc_id, source and text are not read.
+table gives no rows. A control string of the vocabulary in a text becomes its id, as the tokenizers library has it
+(controls=False: ordinary text). Columns other than doc_id, source and text are not read.
 """
 
 from __future__ import annotations
@@ -20,14 +22,17 @@ from bisect import bisect_right
 from collections.abc import Iterator
 from dataclasses import dataclass
 from fractions import Fraction
-from math import lcm
+from math import inf, lcm
+from operator import itemgetter
 
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import checked_broadcast, staged
 
 LENGTH, END, PERIOD = 2048, 1, 32
+#: op2's target: a source's weight is its share of the ids to this power, so that small sources come more often at first.
+TEMPER = 0.7
 VOCABULARY = "word_bpe_49k.json"
 
 
@@ -44,7 +49,7 @@ def queued(docs: DataFrame) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), queue.alias("queue"), F.col("text").cast("string").alias("text"))
 
 
-def _encoded(vocabulary: str):
+def _encoded(vocabulary: str, controls: bool):
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -52,14 +57,14 @@ def _encoded(vocabulary: str):
 
         from .pieces import encoder, slices, text_bytes
 
-        tool = encoder(vocabulary_path(vocabulary), "word")
+        tool = encoder(vocabulary_path(vocabulary), "word", controls)
         part, seen = TaskContext.get().partitionId(), {}
         for batch in slices(batches):
             data, edges = text_bytes(batch.column("text"))
             ids, counts = tool.encode(data, edges)
             full = counts + 1
             ends = np.cumsum(full)
-            out = np.empty(int(ends[-1]) if len(ends) else 0, "<u2")
+            out = np.empty(int(ends[-1]) if len(ends) else 0, f"<u{tool.width}")
             is_end = np.zeros(len(out), bool)
             is_end[ends - 1] = True
             out[is_end], out[~is_end] = END, ids
@@ -67,7 +72,7 @@ def _encoded(vocabulary: str):
             for queue, n in zip(batch.column("queue").to_pylist(), full.tolist()):
                 within.append(seen.get(queue, 0))
                 seen[queue] = within[-1] + n
-            packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(full), [None, pa.py_buffer(np.concatenate([[0], 2 * ends]).astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())
+            packed = pa.LargeBinaryArray.from_buffers(pa.large_binary(), len(full), [None, pa.py_buffer(np.concatenate([[0], tool.width * ends]).astype(np.int64)), pa.py_buffer(out)]).cast(pa.binary())
             yield pa.RecordBatch.from_arrays(
                 [batch.column("doc_id"), batch.column("queue"), pa.array(np.full(len(full), part, np.int32)), pa.array(within, pa.int64()), pa.array(full), packed],
                 ["doc_id", "queue", "part", "within", "n", "ids"],
@@ -76,20 +81,25 @@ def _encoded(vocabulary: str):
     return run
 
 
-class Dealer:
-    """Deals a stream to leaves in proportion to their weights. Node k has the halves 2k and 2k + 1; leaves come last."""
+class Tree:
+    """Deals a stream to leaves in proportion to their weights. Node k has the halves 2k and 2k + 1; leaves come last.
 
-    def __init__(self, weights: list[int], carry: dict[int, Fraction] | None = None):
+    A version of a node: the ids that had reached it and its left half when the version began, the weights of its left
+    half and of itself, and the left half's deficit then.
+    """
+
+    def __init__(self, weights: list[int]):
         self.size = 1 << max(0, len(weights) - 1).bit_length()
-        self.weight = [0] * self.size + list(weights) + [0] * (self.size - len(weights))
+        weight = [0] * self.size + list(weights) + [0] * (self.size - len(weights))
         for k in range(self.size - 1, 0, -1):
-            self.weight[k] = self.weight[2 * k] + self.weight[2 * k + 1]
-        # a half id to begin with, so that counts are rounded and not cut
-        part = (lambda k: carry.get(k, Fraction(1, 2))) if carry else (lambda k: Fraction(1, 2))
-        self.carry = [0] + [int(part(k) * self.weight[k]) for k in range(1, self.size)]
+            weight[k] = weight[2 * k] + weight[2 * k + 1]
+        # half an id to begin with, so that counts are rounded and not cut
+        self.versions = [[]] + [[(0, 0, weight[2 * k], weight[k], weight[k] // 2)] for k in range(1, self.size)]
 
     def _left(self, k: int, m: int) -> int:
-        return (m * self.weight[2 * k] + self.carry[k]) // self.weight[k] if self.weight[k] else 0
+        found = self.versions[k]
+        at, left, own, whole, carry = found[0] if len(found) == 1 else found[bisect_right(found, m, key=itemgetter(0)) - 1]
+        return left + ((m - at) * own + carry) // whole if whole else left
 
     def served(self, leaf: int, m: int) -> tuple[int, int]:
         """Of the first m ids: how many go to the leaf, and how many to those before it."""
@@ -111,48 +121,77 @@ class Dealer:
             at[2 * k + 1] = at[k] - at[2 * k]
         return at[self.size :]
 
+    @staticmethod
+    def _up(version: tuple, right: bool, j: int) -> int:
+        """Where in a node's stream the id j of one of its halves is, under a version that it falls in."""
+        at, left, own, whole, carry = version
+        if right:  # the least m with m - floor((m * own + carry) / whole) > j, less one
+            return at + ((j - (at - left)) * whole + carry) // (whole - own)
+        return at - (-((j - left + 1) * whole - carry) // own) - 1
+
     def place(self, leaf: int, j: int) -> int:
         """Where in the stream the leaf's id j is (both from 0)."""
         k = self.size + leaf
         while k > 1:
-            up = k >> 1
-            all_of, own, carry = self.weight[up], self.weight[2 * up], self.carry[up]
-            if k & 1:  # the least m with m - floor((m * own + carry) / all_of) > j, less one
-                j = (j * all_of + carry) // (all_of - own)
-            else:  # the least m with floor((m * own + carry) / all_of) > j, less one
-                j = -(-((j + 1) * all_of - carry) // own) - 1
-            k = up
+            right, k = bool(k & 1), k >> 1
+            found = self.versions[k]
+            begun = (lambda v: v[0] - v[1]) if right else itemgetter(1)
+            j = self._up(found[0] if len(found) == 1 else found[bisect_right(found, j, key=begun) - 1], right, j)
         return j
 
-    def carries(self, m: int) -> dict[int, Fraction]:
-        """Each node's fraction of an id that its left half is owed after m ids."""
-        at, out = [0, m] + [0] * (2 * self.size - 2), {}
-        for k in range(1, self.size):
-            at[2 * k] = self._left(k, at[k])
-            at[2 * k + 1] = at[k] - at[2 * k]
-            if self.weight[k]:
-                out[k] = Fraction((at[k] * self.weight[2 * k] + self.carry[k]) % self.weight[k], self.weight[k])
-        return out
+    def retire(self, leaf: int, m: int, weight: int) -> None:
+        """After the first m ids the leaf gets no more. The deficits on its path go on."""
+        k, bit = 1, self.size >> 1
+        while bit:
+            at, left, own, whole, carry = self.versions[k][-1]
+            done, rest = divmod((m - at) * own + carry, whole)
+            now = left + done
+            new_own, new_whole = (own if leaf & bit else own - weight), whole - weight
+            self.versions[k].append((m, now, new_own, new_whole, rest * new_whole // whole))
+            m, k = (m - now, 2 * k + 1) if leaf & bit else (now, 2 * k)
+            bit >>= 1
+
+    def run_out(self, totals: list[int], weights: list[int]) -> None:
+        """Retire each leaf at the first id that it no longer has: a tournament, whose paths alone are played again."""
+        never = (inf, -1)
+        first = [never] * self.size + [(n, i) if w else never for i, (n, w) in enumerate(zip(totals, weights))]
+        first += [never] * (2 * self.size - len(first))
+
+        def play(k: int) -> None:
+            version, halves = self.versions[k][-1], []
+            for right in (False, True):
+                j, leaf = first[2 * k + right]
+                halves.append((self._up(version, right, j), leaf) if leaf >= 0 else never)
+            first[k] = min(halves)
+
+        for k in range(self.size - 1, 0, -1):
+            play(k)
+        end = sum(n for n, w in zip(totals, weights) if w)
+        while first[1][1] >= 0 and first[1][0] < end:
+            at, leaf = first[1]
+            self.retire(leaf, at, weights[leaf])
+            k = self.size + leaf
+            first[k] = never
+            while k > 1:
+                k >>= 1
+                play(k)
 
 
 @dataclass
-class Phase:
-    """The stream from id `first` to id `last`, dealt by one set of weights to the queues of one group."""
+class Group:
+    """The stream from id `first` to id `last`, dealt to some queues."""
 
     first: int
     last: int
     length: int
-    group: int
-    before: int  # ids of earlier groups
-    begin: list[int]  # of each queue of the group: ids served before the phase
-    dealer: Dealer
+    tree: Tree
     queues: list[int]
 
     @property
     def served(self) -> list[list[int]]:
-        """By window (the first PERIOD whole ones from the phase's start), then queue of the group: ids served."""
+        """By window (the first PERIOD whole ones from the group's start), then queue of the group: ids served."""
         steps = range(min(PERIOD, (self.last - self.first) // self.length) + 1)
-        cum = [self.dealer.counts(i * self.length)[: len(self.queues)] for i in steps]
+        cum = [self.tree.counts(i * self.length)[: len(self.queues)] for i in steps]
         return [[y - x for x, y in zip(a, b)] for a, b in zip(cum, cum[1:])]
 
 
@@ -160,16 +199,16 @@ class Phase:
 UNITS = 1 << 64
 
 
-def schedule(totals: list[int], weights: list[float] | None = None, length: int = LENGTH) -> list[Phase]:
-    """Phases that serve all queues' ids. weights: target proportions (default: so that all queues end together).
+def schedule(totals: list[int], weights: list[float] | None = None, length: int = LENGTH) -> list[Group]:
+    """Groups that serve all queues' ids. weights: target proportions (default: so that all queues end together).
 
     Queues without a positive weight come after all others, and then end together.
     """
     weighted = [i for i, n in enumerate(totals) if n and weights and weights[i] > 0]
     chosen = set(weighted)
     rest = [i for i, n in enumerate(totals) if n and i not in chosen]
-    phases, first = [], 0
-    for group, (queues, share) in enumerate(((weighted, weights), (rest, totals))):
+    groups, first = [], 0
+    for queues, share in ((weighted, weights), (rest, totals)):
         if not queues:
             continue
         exact = [Fraction(share[i]) for i in queues]
@@ -177,63 +216,39 @@ def schedule(totals: list[int], weights: list[float] | None = None, length: int
         whole = [int(x * unit) for x in exact]
         if share is not totals and sum(whole) < UNITS:
             whole = [x * (UNITS // sum(whole) + 1) for x in whole]
-        left, done, before, carry = [totals[i] for i in queues], [0] * len(queues), first, None
-        while any(left):
-            dealer = Dealer([w if n else 0 for w, n in zip(whole, left)], carry)
-            # up to the first id that its queue no longer has
-            size = min(dealer.place(i, n) for i, n in enumerate(left) if n) if share is not totals else sum(left)
-            size = min(size, sum(left))
-            phases.append(Phase(first, first + size, length, group, before, list(done), dealer, queues))
-            got = dealer.counts(size)
-            carry = dealer.carries(size) if share is not totals else None
-            done = [d + g for d, g in zip(done, got)]
-            left = [n - g for n, g in zip(left, got)]
-            first += size
-    return phases
+        own = [totals[i] for i in queues]
+        tree = Tree(whole)
+        if share is not totals:
+            tree.run_out(own, whole)
+        groups.append(Group(first, first + sum(own), length, tree, queues))
+        first += sum(own)
+    return groups
 
 
 class Cutter:
     """Cuts ranges of a queue into pieces of windows; within a window, pieces are in the order of groups and queues."""
 
-    def __init__(self, phases: list[Phase]):
-        self.phases = phases
-        self.first = [p.first for p in phases]
-        self.end = phases[-1].last if phases else 0
-        self.of, self.begins = {}, {}
-        for n, p in enumerate(phases):
-            for leaf, queue in enumerate(p.queues):
-                self.of[queue] = (p.group, leaf)
-            self.begins.setdefault(p.group, []).append(n)
-        self.ahead = []
-        for p in phases:
-            ahead = [0]
-            for x in p.begin:
-                ahead.append(ahead[-1] + x)
-            self.ahead.append(ahead)
-
-    def served(self, group: int, leaf: int, r: int) -> tuple[int, int]:
+    def __init__(self, groups: list[Group]):
+        self.groups = groups
+        self.end = groups[-1].last if groups else 0
+        self.of = {queue: (g, leaf) for g in groups for leaf, queue in enumerate(g.queues)}
+
+    @staticmethod
+    def _served(group: Group, leaf: int, r: int) -> tuple[int, int]:
         """Of the first r ids of the stream: how many the queue has, and how many those before it in a window."""
-        own = self.begins[group]
-        start, end = self.phases[own[0]].first, self.phases[own[-1]].last
-        clipped = min(max(r, start), end)
-        n = min(max(bisect_right(self.first, clipped) - 1, own[0]), own[-1])
-        p = self.phases[n]
-        mine, before = p.dealer.served(leaf, clipped - p.first)
-        return p.begin[leaf] + mine, min(r, p.before) + self.ahead[n][leaf] + before
+        mine, before = group.tree.served(leaf, min(max(r, group.first), group.last) - group.first)
+        return mine, min(r, group.first) + before
 
     def cut(self, queue: int, start: int, end: int):
         """(position, length, window, offset) of the pieces of [start, end), as arrays."""
         import numpy as np
 
         group, leaf = self.of[queue]
-        own = self.begins[group]
-        n = own[bisect_right(own, start, key=lambda n: self.phases[n].begin[leaf]) - 1]
-        p = self.phases[n]
-        window = (p.first + p.dealer.place(leaf, start - p.begin[leaf])) // p.length
-        out = []
-        begun, ahead = self.served(group, leaf, window * p.length)
+        length, out = group.length, []
+        window = (group.first + group.tree.place(leaf, start)) // length
+        begun, ahead = self._served(group, leaf, window * length)
         while True:
-            upto, ahead_after = self.served(group, leaf, min((window + 1) * p.length, self.end))
+            upto, ahead_after = self._served(group, leaf, min((window + 1) * length, self.end))
             to = min(end, upto)
             if to > start:
                 out.append((start, to - start, window, ahead_after - ahead + start - begun))
@@ -241,10 +256,8 @@ class Cutter:
             if start >= end:
                 break
             if upto - begun <= 1:  # a rare queue: go on where its next id is
-                n = own[bisect_right(own, start, key=lambda n: self.phases[n].begin[leaf]) - 1]
-                q = self.phases[n]
-                window = (q.first + q.dealer.place(leaf, start - q.begin[leaf])) // p.length
-                begun, ahead = self.served(group, leaf, window * p.length)
+                window = (group.first + group.tree.place(leaf, start)) // length
+                begun, ahead = self._served(group, leaf, window * length)
             else:
                 window, begun, ahead = window + 1, upto, ahead_after
         return list(np.array(out, np.int64).reshape(-1, 4).T)
@@ -264,7 +277,8 @@ def _pieces(shared):
             for row, ids in enumerate(batch.column("ids")):
                 begin, n = cols["start"][row], cols["n"][row]
                 at, size, window, offset = cutter.cut(queues[cols["queue"][row]], begin, begin + n)
-                wide = memoryview(np.frombuffer(ids.as_buffer(), "<u2").astype("<u4").tobytes())
+                raw = ids.as_buffer()
+                wide = memoryview(np.frombuffer(raw, f"<u{raw.size // n}").astype("<u4").tobytes())
                 at = (at - begin).tolist()
                 size = size.tolist()
                 out["ids_crc32"] += [zlib.crc32(wide[4 * i : 4 * (i + k)]) for i, k in zip(at, size)]
@@ -279,24 +293,30 @@ def _pieces(shared):
     return run
 
 
-def pack(docs: DataFrame, weights: dict[str, float] | None = None, vocabulary: str = VOCABULARY) -> DataFrame:
+def pack(docs: DataFrame, weights: dict[str | None, float] | float | None = None, vocabulary: str = VOCABULARY, controls: bool = True) -> DataFrame:
     """A row for each piece: doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset.
 
-    weights: target proportions by source ("" for null); sources that it leaves out come last.
+    weights: target proportions by source (None for a null source), where sources that it leaves out come last; or a
+    number, the power of their share of the ids; or nothing, so that all sources end together.
     """
     spark = docs.sparkSession
-    encoded = staged(queued(docs).mapInArrow(_encoded(vocabulary), "doc_id long, queue string, part int, within long, n long, ids binary"), "encoded")
+    encoded = staged(queued(docs).mapInArrow(_encoded(vocabulary, controls), "doc_id long, queue string, part int, within long, n long, ids binary"), "encoded")
     sums = encoded.groupBy("queue", "part").agg(F.sum("n").alias("sum"))
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = staged(sums.withColumn("before", F.coalesce(F.sum("sum").over(before), F.lit(0))), "queues")
     totals = {r["queue"]: r["n"] for r in sums.groupBy("queue").agg(F.sum("sum").alias("n")).collect()}  # a row for each source
     names = sorted(totals)
-    target = [weights.get(q.removeprefix("="), 0.0) for q in names] if weights else None
+    if isinstance(weights, dict):
+        stated = {"" if k is None else f"={k}": float(v) for k, v in weights.items()}
+        target = [stated.get(q, 0.0) for q in names]
+    else:
+        target = [totals[q] ** weights for q in names] if weights is not None else None
     cutter = Cutter(schedule([totals[q] for q in names], target))
     shared = spark.sparkContext.broadcast((cutter, {q: i for i, q in enumerate(names)}))
-    placed = encoded.join(sums.select("queue", "part", "before"), ["queue", "part"]).select("doc_id", "queue", (F.col("before") + F.col("within")).alias("start"), "n", "ids")
+    placed = encoded.join(checked_broadcast(sums.select("queue", "part", "before")), ["queue", "part"])
+    placed = placed.select("doc_id", "queue", (F.col("before") + F.col("within")).alias("start"), "n", "ids")
     return placed.mapInArrow(_pieces(shared), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op2(docs: DataFrame) -> DataFrame:
-    return pack(docs)
+    return pack(docs, TEMPER)

@@ -2,9 +2,13 @@
 
 Values found in a text are validated (card numbers by their check digit, dates by the calendar, addresses by their
 range) and then permuted by a keyed Feistel network within their own format: digits stay digits, letters letters,
-valid cards valid cards and valid dates valid dates. The permutation depends on the key and the format alone, so
-equal values get equal pseudonyms in every document and unequal ones stay unequal. DataFrame functions only; the
-round function is SHA-256 of key, kind, round and half.
+valid cards valid cards, valid dates valid dates, and phone numbers stay within those of their class (numbers of the
+North American plan, and the two kinds that break its rules). The permutation depends on the key and the format alone,
+so equal values get equal pseudonyms in every document, unequal ones stay unequal, and a pseudonym is found again by the
+same patterns. DataFrame functions only; the round function is SHA-256 of key, kind, round and half.
+
+Whoever has the key can invert the network: the caller gives it, or the session's conf KEY_CONF holds it. The queries of
+this repository, which nobody gives a key, fall back to DEMO_KEY, which protects nothing.
 
 Defined cases: a null text stays null; a text without personal data stays as it is; numbers that fail validation
 stay; repeated rows are treated alike; an empty table gives no rows; all other columns pass through.
@@ -12,10 +16,10 @@ stay; repeated rows are treated alike; an empty table gives no rows; all other c
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-KEY = "pantrylake-pseudonyms-1"
+KEY_CONF, DEMO_KEY = "spark.pantrylake.pseudonyms.key", "demo"
 ROUNDS = 8
 #: What is looked for, in order of precedence at one place.
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]++@(?:[A-Za-z0-9-]+\.)+[A-Za-z]{2,}"
@@ -31,6 +35,11 @@ ANY = "|".join(KINDS.values())
 FIRST_DAY, DAYS_A, DAYS_B = "1900-01-01", 319, 229
 
 
+def session_key(spark: SparkSession) -> str:
+    """The key that the session's conf holds, or the demo key."""
+    return spark.conf.get(KEY_CONF, DEMO_KEY)
+
+
 def _digest(kind: str, step: Column, half: Column, key: str) -> Column:
     return F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), step.cast("string"), half.cast("string")), 256)
 
@@ -141,7 +150,7 @@ def _date_ok(value: Column) -> Column:
     return F.coalesce(F.try_to_date(value, "yyyy-MM-dd"), F.try_to_date(value, "MM/dd/yyyy")).isNotNull()
 
 
-def pseudonym(value: Column, key: str = KEY) -> Column:
+def pseudonym(value: Column, key: str) -> Column:
     """The pseudonym of one matched value; a value that fails validation stays."""
     kind, at = kind_of(value), F.instr(value, "@")
     return (
@@ -155,25 +164,28 @@ def pseudonym(value: Column, key: str = KEY) -> Column:
     )
 
 
+def _permuted_phone(digits: Column, key: str) -> Column:
+    """Ten digits within their class: valid numbers (area and exchange from 200), valid areas only, and the rest."""
+    area, exchange, line = F.substring(digits, 1, 3).cast("long"), F.substring(digits, 4, 3).cast("long"), F.substring(digits, 7, 4).cast("long")
+    valid = permuted_number(((area - 200) * 800 + exchange - 200) * 10_000 + line, 80_000, 80_000, "phone", key)
+    half = permuted_number(((area - 200) * 200 + exchange) * 10_000 + line, 40_000, 40_000, "phone-area", key)
+    other = permuted_number((area * 1000 + exchange) * 10_000 + line, 40_000, 50_000, "phone-other", key)
+    whole = lambda x, first, size, least: F.format_string("%03d%03d%04d", F.floor(x / (size * 10_000)).cast("long") + first, F.floor(x / 10_000).cast("long") % size + least, x % 10_000)
+    return F.when(area < 200, whole(other, 0, 1000, 0)).when(exchange < 200, whole(half, 200, 200, 0)).otherwise(whole(valid, 200, 800, 200))
+
+
 def _phone(value: Column, key: str) -> Column:
-    """The country code stays; all other digits are permuted together, so a number is linked however it is spaced."""
+    """The country code stays; the ten digits are permuted together, so a number is linked however it is spaced."""
     code = F.regexp_extract(value, r"^(\+?1[ .-]?(?=[(0-9 .-]))?", 1)
     code = F.when(F.length(F.regexp_replace(value, "[^0-9]", "")) > 10, code).otherwise("")
     rest = F.substr(value, F.length(code) + 1, F.length(value))
-    moved = permuted_text(F.regexp_replace(rest, "[^0-9]", ""), "phone", key)
-    shape = F.split(rest, "")
-    filled = F.aggregate(
-        shape,
-        F.struct(F.lit("").alias("out"), F.lit(1).alias("at")),
-        lambda s, c: F.when((c >= "0") & (c <= "9"), F.struct(F.concat(s["out"], F.substr(moved, s["at"], F.lit(1))).alias("out"), (s["at"] + 1).alias("at"))).otherwise(
-            F.struct(F.concat(s["out"], c).alias("out"), s["at"].alias("at"))
-        ),
-        lambda s: s["out"],
-    )
-    return F.concat(code, filled)
+    moved = _permuted_phone(F.regexp_replace(rest, "[^0-9]", ""), key)
+    # the digits return to their places: area, exchange and line with what stands between them
+    marks = [F.regexp_extract(rest, r"^(\D*)\d{3}(\D*)\d{3}(\D*)\d{4}$", k) for k in (1, 2, 3)]
+    return F.concat(code, marks[0], F.substring(moved, 1, 3), marks[1], F.substring(moved, 4, 3), marks[2], F.substring(moved, 7, 4))
 
 
-def pseudonymised(docs: DataFrame, key: str = KEY, counts: bool = False) -> DataFrame:
+def pseudonymised(docs: DataFrame, key: str, counts: bool = False) -> DataFrame:
     """docs with each personal value of `text` replaced; counts: also how many of each kind (n_<kind>)."""
     rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("text").cast("string").alias("_text"))
     rows = rows.withColumn("_found", F.when(F.rlike("_text", F.lit("[0-9]|@")), F.regexp_extract_all("_text", F.lit(f"({ANY})"), F.lit(0))))
@@ -195,4 +207,4 @@ def _is(name: str):
 
 
 def op5(docs: DataFrame) -> DataFrame:
-    return pseudonymised(docs.select("doc_id", "text"), counts=True)
+    return pseudonymised(docs.select("doc_id", "text"), session_key(docs.sparkSession), counts=True)

@@ -5,7 +5,7 @@ several alphabets, and the values that the fixed patterns find. Ordinary: long w
 match, also joined as snake_case and camelCase identifiers. A token of LEAST_VALUE characters or more is a secret when
 its log-likelihood ratio passes THRESHOLD and EACH; where a fixed pattern's match covers part of a token, the rest is
 judged. The classifier's sample is bounded
-(TRAIN_DOCS documents by a hash of doc_id, MADE_KEYS made keys); every text is scanned whole. DataFrame functions
+(TRAIN_DOCS documents by a hash of doc_id and text, MADE_KEYS made keys); every text is scanned whole. DataFrame functions
 only.
 
 Positions are code points, end exclusive. Defined cases: a null text counts as empty and has no spans; ties are
@@ -21,6 +21,8 @@ import math
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from .common import hash_sample, staged
+
 ASSIGN = r"""((?i:password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)"""
 ACCESS = r"AKIA[A-Z0-9]{14,}"
 HEX = r"[0-9a-f]{16,}"
@@ -33,6 +35,8 @@ SIZE = len(SYMBOLS) + 1
 #: Nats that the ratio must reach, in all and for each character.
 THRESHOLD, EACH = 12.0, 0.45
 TRAIN_DOCS, MADE_KEYS, LEAST_WORD = 2000, 4000, 8
+#: Matches of a text that are placed together.
+LOT = 512
 
 
 def _code(c: Column) -> Column:
@@ -59,7 +63,8 @@ def made_keys(spark: SparkSession) -> DataFrame:
 def training_tokens(docs: DataFrame) -> DataFrame:
     """(label, token): labelled samples; 1 random, 0 ordinary."""
     sample = docs.select("doc_id", F.coalesce(F.col("text").cast("string"), F.lit("")).alias("text"))
-    sample = sample.orderBy(F.xxhash64("doc_id"), "doc_id", F.xxhash64("text")).limit(TRAIN_DOCS)
+    few = hash_sample(sample, TRAIN_DOCS, sample.count(), "doc_id", "text")
+    sample = staged(few.orderBy(F.shiftrightunsigned(F.xxhash64("doc_id", "text"), 1), "doc_id", "text").limit(TRAIN_DOCS), "sample")
     values = F.concat(
         F.filter(F.regexp_extract_all("text", F.lit(ASSIGN), F.lit(2)), lambda v: F.length(v) >= LEAST_VALUE),
         F.regexp_extract_all("text", F.lit(f"({ACCESS}|{HEX})"), F.lit(1)),
@@ -110,8 +115,14 @@ def _spans(pattern: str, value_group: int | None, kind: str) -> Column:
         (s["at"] + p["g"] + p["n"]).alias("at"),
         F.array_append(s["out"], F.struct((s["at"] + p["g"]).alias("start"), F.lit(KINDS.index(kind)).alias("rank"), (s["at"] + p["g"] + p["n"]).alias("end"), p["v"].alias("value"))).alias("out"),
     )
-    placed = F.aggregate(parts, F.struct(F.lit(0).alias("at"), empty.alias("out")), step, lambda s: F.filter(s["out"], lambda x: x["end"] > x["start"]))
-    return F.when(F.rlike("text", F.lit(pattern)), placed).otherwise(empty)
+    placed = lambda lot, at: F.aggregate(lot, F.struct(at.alias("at"), empty.alias("out")), step, lambda s: s["out"])
+    # an array grows by one at the cost of a copy, so many matches are placed in lots
+    lots = F.transform(F.sequence(F.lit(0), F.floor((F.size(parts) - 1) / LOT).cast("int")), lambda k: F.slice(parts, k * LOT + 1, F.lit(LOT)))
+    width = lambda lot: F.aggregate(lot, F.lit(0), lambda s, p: s + p["g"] + p["n"])
+    starts = F.aggregate(lots, F.array(F.lit(0)), lambda s, lot: F.array_append(s, F.element_at(s, -1) + width(lot)))
+    in_lots = F.flatten(F.zip_with(lots, F.slice(starts, F.lit(1), F.size(lots)), placed))
+    found = F.filter(F.when(F.size(parts) <= LOT, placed(parts, F.lit(0))).otherwise(in_lots), lambda x: x["end"] > x["start"])
+    return F.when(F.rlike("text", F.lit(pattern)), found).otherwise(empty)
 
 
 def _written(spans: Column) -> Column:

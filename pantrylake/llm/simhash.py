@@ -7,8 +7,13 @@ over the first pivot distance and the largest coordinate difference to all pivot
 inequality: over 3 means over 3 bits apart), and the survivors are verified bit by bit.
 
 Defined cases: a null or empty text has no words, so its fingerprint is 0 and links like any other; fewer than three
-words are one shingle; repeated rows share a fingerprint and a class; a row without doc_id gets the class of its
-fingerprint; an empty table gives no rows. Columns other than doc_id and text are not read.
+words are one shingle; repeated rows share a fingerprint and a class; rows of one doc_id with different texts each have
+the class of their own fingerprint; a row without doc_id links like any other and gets the class of its fingerprint
+(null where no row of the class has an id); an empty table gives no rows. Columns other than doc_id and text are not
+read.
+
+A part that n distinct fingerprints share is compared in (n / TILE)^2 / 2 squares, so a crowd of n near copies with
+distinct fingerprints sends n^2 / TILE rows.
 """
 
 from __future__ import annotations
@@ -19,7 +24,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import staged
+from .common import checked_broadcast, join_classes, staged
 from .components import Forest, components
 
 BITS, SHINGLE, SEED, MAX_BITS = 64, 3, 42, 3
@@ -164,37 +169,41 @@ def near_links(points: DataFrame, n: int) -> DataFrame:
 def near_duplicates(docs: DataFrame) -> DataFrame:
     """(doc_id, fp, component_id): every document with the smallest doc_id reachable over links of at most MAX_BITS."""
     found = staged(fingerprints(docs), "fingerprints")
-    points = staged(found.groupBy("fp").agg(F.min("doc_id").alias("node")), "points")
-    linked = points.where("node is not null")
-    of = components(near_links(linked, linked.count()), "a", "b")
-    classes = points.join(of, "node", "left").select("fp", F.coalesce("component", "node").alias("component_id"))
-    return found.join(classes, "fp", "left").select("doc_id", "fp", "component_id")
+    points = staged(found.groupBy("fp").agg(F.min("doc_id").alias("node"), F.count("*").alias("_n")), "points")
+    of = components(near_links(points.select(F.col("fp").alias("node"), "fp"), points.count()), "a", "b")
+    grouped = points.join(of.withColumnRenamed("node", "_node"), F.col("fp") == F.col("_node"), "left").select("fp", "node", "_n", F.coalesce("component", "fp").alias("group"))
+    grouped = staged(grouped, "groups")
+    least = grouped.groupBy("group").agg(F.min("node").alias("component_id"))
+    classes = grouped.join(least, "group").select("fp", "component_id", "_n")
+    return join_classes(found, classes, ["fp"], found.count()).select("doc_id", "fp", "component_id")
 
 
 def keep_one(docs: DataFrame) -> DataFrame:
     """One row of each group stays: that with the smallest doc_id, then fingerprint, then text.
 
     Groups are of fingerprints, so an id that repeats with unrelated texts counts in each of their groups. Rows without
-    doc_id cannot be told apart and all stay.
+    doc_id cannot be told apart and all stay. Whole rows are dealt anew only where the ids that go are too many to
+    broadcast.
     """
     found = staged(fingerprints(docs).where("doc_id is not null"), "fingerprints")
-    points = staged(found.groupBy("fp").agg(F.min("doc_id").alias("first")), "points")
+    points = staged(found.groupBy("fp").agg(F.min("doc_id").alias("first"), F.count("*").alias("_n")), "points")
     of = components(near_links(points.select(F.col("fp").alias("node"), "fp"), points.count()), "a", "b")
-    points = points.join(of, F.col("fp") == F.col("node"), "left").select("fp", "first", F.coalesce("component", "fp").alias("group"))
+    points = points.join(of, F.col("fp") == F.col("node"), "left").select("fp", "first", "_n", F.coalesce("component", "fp").alias("group"))
     best = staged(points.groupBy("group").agg(F.min(F.struct("first", "fp")).alias("best")), "best")
-    stays = points.join(best, "group").select("fp", F.col("best.first").alias("_stay"), F.col("best.fp").alias("_fp"))
-    gone = found.join(stays, "fp").where("doc_id != _stay or fp != _fp").select(F.col("doc_id").alias("_gone"))
-    again = found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_gone"))
+    stays = staged(points.join(best, "group").select("fp", F.col("best.first").alias("_stay"), F.col("best.fp").alias("_fp"), "_n"), "stays")
+    gone = join_classes(found, stays, ["fp"], found.count()).where("doc_id != _stay or fp != _fp").select(F.col("doc_id").alias("_gone"))
+    again = staged(found.groupBy("doc_id").count().where("count > 1").select(F.col("doc_id").alias("_again")), "again")
     repeated = not again.isEmpty()
-    rows = docs.select(F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"), F.col("doc_id").cast("long").alias("_id"))
-    kept = rows.join((gone.unionByName(again) if repeated else gone).distinct(), F.col("_id") == F.col("_gone"), "left_anti").select("_row")
+    left = staged((gone.unionByName(again.toDF("_gone")) if repeated else gone).distinct(), "gone")
+    kept = docs.alias("_d").join(checked_broadcast(left).alias("_g"), F.col("_d.doc_id").cast("long") == F.col("_g._gone"), "left_anti")
     if repeated:  # such an id says nothing of the text: these rows are told apart by fingerprint as well
-        some = rows.join(again, F.col("_id") == F.col("_gone"), "left_semi").select(F.col("_id").alias("doc_id"), F.col("_row.text").alias("text"), "_row")
+        some = docs.alias("_d").join(checked_broadcast(again).alias("_g"), F.col("_d.doc_id").cast("long") == F.col("_g._again"), "left_semi")
+        some = some.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("_row"))
         pairs = best.select(F.col("best.first").alias("doc_id"), F.col("best.fp").alias("fp"))
         some = fingerprints(some, "_row").join(pairs, ["doc_id", "fp"], "left_semi")
         least = F.min_by("_row", F.struct(F.coalesce(F.col("_row.text").cast("string"), F.lit("")), F.to_json("_row")))
-        kept = kept.unionByName(some.groupBy("doc_id", "fp").agg(least.alias("_row")).select("_row"))
-    return kept.select("_row.*")
+        kept = kept.unionByName(some.groupBy("doc_id", "fp").agg(least.alias("_row")).select("_row.*"))
+    return kept
 
 
 def op9(docs: DataFrame) -> DataFrame:

@@ -6,11 +6,14 @@ digests of its chunks in order, with a Merkle root over them), recipes lie in as
 holds a Merkle root for each range of recipes and one for the store. Reading checks every digest and root.
 
 Layout (Parquet): chunks(digest, n, payload), payload: little-endian unsigned 16-bit ids (32-bit if the vocabulary
-needs it); recipes(bucket, doc_id, row, n_tokens, start, recipe, root); manifest(bucket, documents, tokens, root).
+needs it: a recipe states the width); recipes(bucket, doc_id, row, n_tokens, start, width, recipe, root);
+manifest(bucket, documents, tokens, root).
 
 Defined cases: a null text counts as empty and is its end id alone; repeated rows and rows without doc_id (first in
-order) each have a recipe of their own; ties of doc_id are ordered by the root, then by where they were encoded; an
-empty table gives an empty store. Columns other than doc_id and text are not read.
+order) each have a recipe of their own; ties of doc_id are ordered by where they were encoded (task, then row), so an
+id that many rows share, or none, is dealt over many buckets; a control string of the vocabulary in a text becomes its
+id, as the tokenizers library has it (controls=False: ordinary text); an empty table gives an empty store. Columns
+other than doc_id and text are not read.
 """
 
 from __future__ import annotations
@@ -22,7 +25,7 @@ from pyspark.sql import functions as F
 
 from .common import bucket_count, drop_path, fresh_path, range_bucket, running_start
 
-END, VOCABULARY, WIDTH = 2, "byte_bpe_50k.json", 2
+END, VOCABULARY = 2, "byte_bpe_50k.json"
 WINDOW, LEAST, MOST, MASK_BITS, DIGEST = 16, 64, 2048, 8, 16
 #: A task leaves out payloads that it has written already; it remembers at most this many digests.
 REMEMBERED = 1 << 20
@@ -75,7 +78,7 @@ def cuts(hashes, candidates, begin: int, end: int) -> list[int]:
     return [*out, end] if end > at else out
 
 
-def _encoded(vocabulary: str):
+def _encoded(vocabulary: str, controls: bool):
     def run(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
@@ -84,13 +87,13 @@ def _encoded(vocabulary: str):
         from .packing import vocabulary_path
         from .pieces import encoder, slices, text_bytes
 
-        tool = encoder(vocabulary_path(vocabulary), "gpt")
-        part, row, seen = TaskContext.get().partitionId(), 0, set()
+        tool = encoder(vocabulary_path(vocabulary), "gpt", controls)
+        width, part, row, seen = tool.width, TaskContext.get().partitionId(), 0, set()
         for batch in slices(batches):
             data, edges = text_bytes(batch.column("text"))
             ids, counts = tool.encode(data, edges)
             ends = np.cumsum(counts + 1)
-            full = np.empty(int(ends[-1]) if len(ends) else 0, f"<u{WIDTH}")
+            full = np.empty(int(ends[-1]) if len(ends) else 0, f"<u{width}")
             is_end = np.zeros(len(full), bool)
             is_end[ends - 1] = True
             full[is_end], full[~is_end] = END, ids
@@ -98,29 +101,29 @@ def _encoded(vocabulary: str):
             candidates = np.nonzero(hashes >> np.uint64(64 - MASK_BITS) == 0)[0]
             raw = full.tobytes()
             doc_ids = batch.column("doc_id").to_pylist()
-            out: dict[str, list] = {k: [] for k in ("doc_id", "row", "n", "digest", "payload", "recipe", "root")}
+            out: dict[str, list] = {k: [] for k in ("doc_id", "row", "n", "digest", "payload", "width", "recipe", "root")}
             for doc, begin, end in zip(doc_ids, (ends - counts - 1).tolist(), ends.tolist()):
                 digests, at = [], begin
                 for to in cuts(hashes, candidates, begin, end):
-                    payload = raw[WIDTH * at : WIDTH * to]
+                    payload = raw[width * at : width * to]
                     digests.append(_digest(payload))
                     if digests[-1] not in seen:
                         if len(seen) >= REMEMBERED:
                             seen.clear()
                         seen.add(digests[-1])
-                        for k, v in (("doc_id", None), ("row", None), ("n", to - at), ("digest", digests[-1]), ("payload", payload), ("recipe", None), ("root", None)):
+                        for k, v in (("doc_id", None), ("row", None), ("n", to - at), ("digest", digests[-1]), ("payload", payload), ("width", width), ("recipe", None), ("root", None)):
                             out[k].append(v)
                     at = to
-                for k, v in (("doc_id", doc), ("row", (part << 32) + row), ("n", end - begin), ("digest", None), ("payload", None), ("recipe", b"".join(digests)), ("root", merkle_root(digests))):
+                for k, v in (("doc_id", doc), ("row", (part << 32) + row), ("n", end - begin), ("digest", None), ("payload", None), ("width", width), ("recipe", b"".join(digests)), ("root", merkle_root(digests))):
                     out[k].append(v)
                 row += 1
-            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.binary(), pa.binary())
+            kinds = (pa.int64(), pa.int64(), pa.int64(), pa.binary(), pa.binary(), pa.int32(), pa.binary(), pa.binary())
             yield pa.RecordBatch.from_arrays([pa.array(v, t) for v, t in zip(out.values(), kinds)], list(out))
 
     return run
 
 
-_STAGED = "doc_id long, row long, n long, digest binary, payload binary, recipe binary, root binary"
+_STAGED = "doc_id long, row long, n long, digest binary, payload binary, width int, recipe binary, root binary"
 
 
 def _manifest_rows(batches: Iterator) -> Iterator:
@@ -130,7 +133,7 @@ def _manifest_rows(batches: Iterator) -> Iterator:
     bucket, docs, tokens, leaves = None, 0, 0, []
 
     def done():
-        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int32()), pa.array([docs], pa.int64()), pa.array([tokens], pa.int64()), pa.array([merkle_root(leaves)], pa.binary())], ["bucket", "documents", "tokens", "root"])
+        return pa.RecordBatch.from_arrays([pa.array([bucket], pa.int64()), pa.array([docs], pa.int64()), pa.array([tokens], pa.int64()), pa.array([merkle_root(leaves)], pa.binary())], ["bucket", "documents", "tokens", "root"])
 
     for batch in batches:
         for b, n, root in zip(*(batch.column(k).to_pylist() for k in ("bucket", "n_tokens", "root"))):
@@ -145,22 +148,24 @@ def _manifest_rows(batches: Iterator) -> Iterator:
 
 
 def _manifest(recipes: DataFrame) -> DataFrame:
-    return recipes.select("bucket", "start", "doc_id", "row", "n_tokens", "root").repartition("bucket").sortWithinPartitions("bucket", "start", "row").mapInArrow(_manifest_rows, "bucket int, documents long, tokens long, root binary")
+    return recipes.select("bucket", "start", "doc_id", "row", "n_tokens", "root").repartition("bucket").sortWithinPartitions("bucket", "start", "row").mapInArrow(_manifest_rows, "bucket long, documents long, tokens long, root binary")
 
 
-def write_store(docs: DataFrame, path: str, vocabulary: str = VOCABULARY) -> None:
+def write_store(docs: DataFrame, path: str, vocabulary: str = VOCABULARY, controls: bool = True) -> None:
     """Encode all documents and write chunks, recipes and manifest under `path`."""
     spark = docs.sparkSession
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     staging = fresh_path(spark, "encoded")
-    rows.mapInArrow(_encoded(vocabulary), _STAGED).write.option("compression", "zstd").parquet(staging)
+    rows.mapInArrow(_encoded(vocabulary, controls), _STAGED).write.option("compression", "zstd").parquet(staging)
     encoded = spark.read.schema(_STAGED).parquet(staging)
-    recipes = encoded.where("digest IS NULL").select("doc_id", "row", F.col("n").alias("n_tokens"), "recipe", "root")
-    recipes = recipes.withColumn("bucket", range_bucket(recipes, "doc_id", bucket_count(spark)))
-    recipes = running_start(recipes, "bucket", [F.col("doc_id"), F.col("root"), F.col("row")], F.col("n_tokens"), "start")
+    recipes = encoded.where("digest IS NULL").select("doc_id", "row", F.col("n").alias("n_tokens"), "width", "recipe", "root")
+    task = F.shiftright("row", 32)
+    tasks = recipes.agg(F.max(task)).first()[0] or 0
+    recipes = recipes.withColumn("bucket", range_bucket(recipes, "doc_id", bucket_count(spark), task / (tasks + 1))[0])
+    recipes = running_start(recipes, "bucket", [F.col("doc_id"), F.col("row")], F.col("n_tokens"), "start")
     recipes.repartitionByRange("bucket").sortWithinPartitions("bucket", "start", "row").write.option("compression", "zstd").parquet(f"{path}/recipes")
     _manifest(spark.read.parquet(f"{path}/recipes")).write.option("compression", "zstd").parquet(f"{path}/manifest")
-    chunks = encoded.where("digest IS NOT NULL").groupBy("digest").agg(F.first("n").alias("n"), F.first("payload").alias("payload"))
+    chunks = encoded.where("digest IS NOT NULL").groupBy("digest").agg(F.first("n").alias("n"), F.first("width").alias("width"), F.first("payload").alias("payload"))
     chunks.write.option("compression", "zstd").parquet(f"{path}/chunks")
     drop_path(spark, staging)
 
@@ -173,12 +178,12 @@ def _read_chunks(batches: Iterator) -> Iterator:
     import pyarrow as pa
 
     for batch in batches:
-        digests, payloads = batch.column("digest").to_pylist(), batch.column("payload").to_pylist()
+        digests, payloads, widths = (batch.column(k).to_pylist() for k in ("digest", "payload", "width"))
         for d, p in zip(digests, payloads):
             if _digest(p) != d:
                 raise ValueError(f"chunk {d.hex()} does not match its digest")
-        crc = [zlib.crc32(np.frombuffer(p, f"<u{WIDTH}").astype("<u4").tobytes()) for p in payloads]
-        yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([len(p) // WIDTH for p in payloads], pa.int64()), pa.array(crc, pa.int64())], ["digest", "n", "crc"])
+        crc = [zlib.crc32(np.frombuffer(p, f"<u{w}").astype("<u4").tobytes()) for p, w in zip(payloads, widths)]
+        yield pa.RecordBatch.from_arrays([batch.column("digest"), pa.array([len(p) // w for p, w in zip(payloads, widths)], pa.int64()), pa.array(crc, pa.int64())], ["digest", "n", "crc"])
 
 
 def _times(a, b):
@@ -242,7 +247,7 @@ def verify_store(spark: SparkSession, path: str) -> DataFrame:
     wrong = _manifest(recipes).join(stated, "bucket", "full_outer").where("NOT (root <=> stated AND tokens <=> _tokens)")
     if not wrong.isEmpty():
         raise ValueError("the recipes do not match the manifest")
-    chunks = spark.read.parquet(f"{path}/chunks").select("digest", "payload").mapInArrow(_read_chunks, "digest binary, n long, crc long")
+    chunks = spark.read.parquet(f"{path}/chunks").select("digest", "payload", "width").mapInArrow(_read_chunks, "digest binary, n long, crc long")
     found = _pieces(recipes).join(chunks, "digest").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "n", "crc"))).alias("parts"))
     whole = recipes.select("row", "doc_id", "start", "n_tokens", "recipe", "root").join(found, "row", "left")
     whole = whole.withColumn("parts", F.coalesce("parts", F.array().cast("array<struct<at:int,n:long,crc:long>>")))
@@ -254,17 +259,18 @@ def read_documents(spark: SparkSession, path: str) -> DataFrame:
     recipes = spark.read.parquet(f"{path}/recipes")
     chunks = spark.read.parquet(f"{path}/chunks").select("digest", "payload")
     found = _pieces(recipes).join(chunks, "digest").groupBy("row").agg(F.array_sort(F.collect_list(F.struct("at", "payload"))).alias("p"))
-    whole = recipes.select("row", "doc_id", "start").join(found, "row")
+    whole = recipes.select("row", "doc_id", "start", "width").join(found, "row")
 
     def ids(batches: Iterator) -> Iterator:
         import numpy as np
         import pyarrow as pa
 
         for batch in batches:
-            lists = [np.frombuffer(b"".join(x["payload"] for x in p), f"<u{WIDTH}").astype(np.int64) for p in batch.column("p").to_pylist()]
+            widths = batch.column("width").to_pylist()
+            lists = [np.frombuffer(b"".join(x["payload"] for x in p), f"<u{w}").astype(np.int64) for p, w in zip(batch.column("p").to_pylist(), widths)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), batch.column("start"), pa.array(lists, pa.list_(pa.int64()))], ["doc_id", "start", "ids"])
 
-    return whole.select("doc_id", "start", "p").mapInArrow(ids, "doc_id long, start long, ids array<long>")
+    return whole.select("doc_id", "start", "width", "p").mapInArrow(ids, "doc_id long, start long, ids array<long>")
 
 
 def op8(docs: DataFrame) -> DataFrame:

@@ -16,12 +16,11 @@ from pantrylake.llm.common import fresh_path
 from pantrylake.llm.pieces import PieceEncoder, text_bytes
 
 OPERATORS = {"op2": packing.op2, "op3": mixing.op3, "op4": secret_scan.op4, "op5": pii.op5, "op7": langid.op7, "op8": store.op8, "op9": simhash.op9, "op10": digest.op10}
-STAGES = {"known": langid.keep_known, "one": simhash.keep_one, "pii": pii.pseudonymised, "mixed": mixing.mixed}
+STAGES = {"known": langid.keep_known, "one": simhash.keep_one, "pii": lambda docs: pii.pseudonymised(docs, "k"), "mixed": mixing.mixed}
 
 
 def ids_of(name, text, end):
-    tool = Tokenizer.from_file(public_tokenizers.path(name))
-    tool.encode_special_tokens = True
+    tool = Tokenizer.from_file(public_tokenizers.path(name))  # as the contract calls it: nothing set
     return np.array(tool.encode(text or "", add_special_tokens=False).ids + [end], "<u4")
 
 
@@ -60,8 +59,48 @@ def test_piece_encoder_is_exact(name, style):
     for _ in range(2):  # cold, then from the cache
         ids, n = tool.encode(*text_bytes(pa.array(texts)))
         ends = np.cumsum(n)
-        want = tool.whole(texts)
-        assert all(np.array_equal(ids[e - k : e], w) for e, k, w in zip(ends, n, want))
+        library = Tokenizer.from_file(public_tokenizers.path(name))
+        want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+        assert all(ids[e - k : e].tolist() == w for e, k, w in zip(ends, n, want))
+
+
+def thue_morse(n, a, b):
+    """Words on which polynomial hashes modulo a power of two collide."""
+    s = a
+    while len(s) < n:
+        s += s.translate({ord(a): b, ord(b): a})
+    return s
+
+
+@pytest.mark.parametrize(("name", "style"), [("byte_bpe_50k.json", "gpt"), ("word_bpe_49k.json", "word")])
+@pytest.mark.parametrize("controls", [True, False])
+def test_piece_encoder_on_colliding_words_control_strings_and_segments(name, style, controls, monkeypatch):
+    import random
+
+    import pyarrow as pa
+
+    from pantrylake.llm import pieces
+
+    rnd = random.Random(7)
+    texts = [thue_morse(n, a, b) for n in (16, 32, 1024) for a, b in ("ab", "ba")] + ["!", "!\0", "!\0\0", "x <|endoftext|> y", "<|startoftext|>", "a<|endoftext|><|endoftext|>b <|endof"]
+    words = ["word", "It's", "the", "23", "  x", "averyveryverylongword", "don't", "é"]
+    texts += [" ".join(rnd.choice(words + more) for _ in range(2000)) for more in ([], ["<|endoftext|>"], ["日本"])] + ["z" * 9000, "a b" * 4000]
+    library = Tokenizer.from_file(public_tokenizers.path(name))
+    library.encode_special_tokens = not controls
+    want = [x.ids for x in library.encode_batch(texts, add_special_tokens=False)]
+    tool = PieceEncoder(public_tokenizers.path(name), style, controls)
+    for segment, uncut in ((1 << 20, 1 << 23), (1000, 4000)):
+        monkeypatch.setattr(pieces, "SEGMENT", segment)
+        monkeypatch.setattr(pieces, "UNCUT", uncut)
+        ids, n = tool.encode(*text_bytes(pa.array(texts)))
+        assert [ids[e - k : e].tolist() for e, k in zip(np.cumsum(n), n)] == want
+
+
+def test_width_of_ids_follows_the_vocabulary():
+    tool = PieceEncoder(public_tokenizers.path("byte_bpe_50k.json"), "gpt")
+    assert tool.width == 2
+    tool.size = 70_000
+    assert tool.width == 4
 
 
 def test_packing_rows(docs):
@@ -143,6 +182,32 @@ def test_weights_hold_beyond_a_thousand_sources(spark):
     assert abs(first[first.doc_id % 2000 == 0].length.sum() - 1536) <= 1
 
 
+def test_a_schedule_of_many_sources_is_small():
+    import pickle
+
+    rnd = np.random.default_rng(1)
+    totals = rnd.integers(1, 10_000, 1500).tolist()
+    weights = rnd.random(1500).tolist()
+    groups = packing.schedule(totals, weights)
+    assert len(pickle.dumps(packing.Cutter(groups))) < 8_000_000
+    cutter, length = packing.Cutter(groups), 0
+    for q in range(0, 1500, 97):
+        at, size, _, _ = cutter.cut(q, 0, totals[q])
+        assert size.sum() == totals[q]
+    counts = groups[0].tree.counts(sum(totals))
+    assert counts[:1500] == totals and length == 0
+
+
+def test_op2_deals_by_tempered_shares(docs):
+    rows = packing.op2(docs).toPandas()
+    source = {r.doc_id: r.source for r in docs.collect()}
+    rows["source"] = rows.doc_id.map(source)
+    totals = rows.groupby("source").length.sum()
+    target = totals**packing.TEMPER / (totals**packing.TEMPER).sum()
+    first = rows[rows.sequence_id == 0].groupby("source").length.sum()
+    assert (abs(first - packing.LENGTH * target) <= 6).all()
+
+
 def test_odd_rows_are_packed_as_often_as_they_come(odd_docs):
     rows = packing.op2(odd_docs).toPandas()
     want = sum(len(ids_of("word_bpe_49k.json", r.text, 1)) for r in odd_docs.collect())
