@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 
 from pantrylake.llm import langid, mixing, packing, pii, simhash
-from pantrylake.llm.common import staged, table
+from pantrylake.llm.common import drop_path, staged_at, table
 
 #: SQL has no counterpart of context trees, SimHash or a vocabulary's ids; tests hold run() against plain Python.
 ORACLE_SQL = None
@@ -28,7 +28,7 @@ def one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def without_personal_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Personal data replaced by pseudonyms of the same format."""
-    return pii.pseudonymised(docs)
+    return pii.pseudonymised(docs, pii.session_key(spark))
 
 
 def to_target_weights(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -51,8 +51,11 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """All stages over documents; each but the last is written and read again."""
-    docs = table(spark, sf_dir, "documents")
+    """All stages over documents; each but the last is written and read again, and what it read is dropped then."""
+    docs, read = table(spark, sf_dir, "documents"), None
     for name, stage in STAGES[:-1]:
-        docs = staged(stage(spark, docs, sf_dir), name)
+        docs, path = staged_at(stage(spark, docs, sf_dir), name)
+        if read is not None:
+            drop_path(spark, read)
+        read = path
     return STAGES[-1][1](spark, docs, sf_dir)
