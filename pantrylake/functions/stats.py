@@ -31,14 +31,17 @@ def price_class(now: Column, mean: Column) -> Column:
     return F.when((now > 5 * mean) & (now - mean > 50), "leak").when((now > 2 * mean) | (now < 0.5 * mean), "drift").otherwise("real")
 
 
-def invoice_status(items: Column, total: Column, credits: Column, tolerance: float = 0.5, percent: float = 1.0) -> Column:
-    """pass, review, fail or partial, from the gap between a printed total and its lines."""
+def invoice_status(items: Column, total: Column, credits: Column, tolerance: float = 0.5, percent: float = 1.0, fees: Column | None = None, n_items: Column | None = None) -> Column:
+    """pass, review, fail or partial, from the gap between a printed total and its lines.
+
+    It passes when the gap is within the tolerance, when credits explain it, when it is within a percentage, or when
+    known fees explain it and there are items at all.
+    """
     gap = total - items
-    return (
-        F.when(total.isNull(), "partial")
-        .when(F.abs(gap) <= tolerance, "pass")
-        .when(F.abs(gap - credits) <= tolerance, "pass")
-        .when(F.abs(gap) <= F.abs(total) * percent / 100, "pass")
-        .when(F.abs(gap) <= F.abs(total) * 5 / 100, "review")
-        .otherwise("fail")
-    )
+    paths = [F.abs(gap) <= tolerance, F.abs(gap - credits) <= tolerance, F.abs(gap) <= F.abs(total) * percent / 100]
+    if fees is not None:
+        paths.append((F.abs(gap - fees) <= tolerance) & ((n_items > 0) if n_items is not None else F.lit(True)))
+    ok = F.lit(False)
+    for p in paths:
+        ok = ok | F.coalesce(p, F.lit(False))
+    return F.when(total.isNull(), "partial").when(ok, "pass").when(F.abs(gap) <= F.abs(total) * 5 / 100, "review").otherwise("fail")

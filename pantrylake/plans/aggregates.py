@@ -10,14 +10,6 @@ from ..operators import quality, relational
 from .base import money, query
 
 
-@query("QRY_05_category_spend", "WITH {LINES}, g AS (SELECT p_type, count(*) AS n_lines, sum(ext)::DOUBLE AS spend, count(DISTINCT l_partkey) AS n_products FROM lines JOIN part ON p_partkey = l_partkey WHERE day BETWEEN DATE '1997-06-01' AND DATE '1997-06-30' GROUP BY 1) SELECT p_type, n_lines, spend, n_products, round(100.0::DOUBLE * n_lines / sum(n_lines) OVER (), 2) AS line_share, round(100 * spend / sum(spend) OVER (), 2) AS spend_share FROM g")
-def _(t):
-    month = t.lines.where("day BETWEEN DATE'1997-06-01' AND DATE'1997-06-30'")
-    g = month.join(t.part, F.col("p_partkey") == F.col("l_partkey")).groupBy("p_type")
-    g = g.agg(F.count("*").alias("n_lines"), money("ext").alias("spend"), F.countDistinct("l_partkey").alias("n_products"))
-    return relational.share_of_total(relational.share_of_total(g, "n_lines", "line_share"), "spend", "spend_share")
-
-
 @query("AGG_01_group_count", "SELECT l_returnflag, count(*) AS n FROM lineitem GROUP BY 1")
 def _(t):
     return t.lineitem.groupBy("l_returnflag").agg(F.count("*").alias("n"))

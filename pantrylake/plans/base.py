@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
@@ -22,16 +23,32 @@ class Tables:
     def __getattr__(self, name: str) -> DataFrame:
         return table(self.spark, self.sf_dir, name)
 
-    @property
-    def lines(self) -> DataFrame:
-        """Invoice lines: lineitem with a day, a unit price cut to cents and money as exact decimals."""
+    def view(self, name: str) -> DataFrame:
+        """A derived table of VIEWS."""
+        return self.spark.sql(VIEWS[name], **{k: (self.view(k) if k in VIEWS else getattr(self, k)) for k in re.findall(r"\{(\w+)\}", VIEWS[name])})
+
+    def _lines(self, rows: DataFrame) -> DataFrame:
         money = lambda c: F.col(c).cast("decimal(18,2)")
-        return self.lineitem.select(
+        return rows.select(
             "l_orderkey", "l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_discount", "l_returnflag", "l_linestatus",
             money("l_extendedprice").alias("ext"), F.to_date("l_shipdate").alias("day"),
             (F.floor(F.col("l_extendedprice") / F.col("l_quantity") * 100) / 100).alias("price"),
         )
 
+    @property
+    def lines(self) -> DataFrame:
+        """Invoice lines: lineitem with a day, a unit price cut to cents and money as exact decimals."""
+        return self._lines(self.lineitem)
+
+    def lines_between(self, first: str, last: str) -> DataFrame:
+        """Invoice lines of the days from first to last. The bounds are on the stored column, so the scan sees them."""
+        return self._lines(self.lineitem.where(between("l_shipdate", first, last)))
+
+
+def between(c: str, first: str, last: str) -> F.Column:
+    """A timestamp column within days, as a range that reaches the scan."""
+    return F.expr(f"{c} >= TIMESTAMP_NTZ'{first}' AND {c} < TIMESTAMP_NTZ'{last}' + INTERVAL 1 DAY")
+
 
 #: The same as SQL, for oracles.
 LINES = (
@@ -39,6 +56,39 @@ LINES = (
     "CAST(l_extendedprice AS DECIMAL(18,2)) AS ext, CAST(l_shipdate AS DATE) AS day, floor(l_extendedprice / l_quantity * 100) / 100 AS price FROM lineitem)"
 )
 
+#: Tables of the domain that the driver's tables lack, derived from them in SQL that Spark and DuckDB read alike.
+VIEWS = {
+    # descriptions of goods and packs as vendors write them, with odd and missing ones
+    "wording": """SELECT p_partkey AS id, p_name AS name, p_type AS category, p_size AS size,
+        CASE p_partkey % 10 WHEN 0 THEN CAST(p_size AS STRING) || '/' || CAST(p_partkey % 13 + 1 AS STRING) || 'LB' WHEN 1 THEN CAST(p_size AS STRING) || ' ct'
+          WHEN 2 THEN '6/#10CAN' WHEN 3 THEN CAST(p_partkey % 5 AS STRING) WHEN 4 THEN CAST(p_size AS STRING) || '/1.5 Gal' WHEN 5 THEN 'case of ' || CAST(p_size AS STRING)
+          WHEN 6 THEN NULL WHEN 7 THEN CAST(p_size AS STRING) || 'doz' WHEN 8 THEN CAST(p_size AS STRING) || '/' || CAST(p_partkey % 17 AS STRING) ELSE CAST(p_size AS STRING) || 'EACH' END AS case_size,
+        CASE p_partkey % 7 WHEN 0 THEN upper(p_name) || ', ' || CAST(p_size AS STRING) || ' LB' WHEN 1 THEN p_name || ' 36/' || CAST(p_size AS STRING) || '# avg'
+          WHEN 2 THEN p_name || ', 1-1/9 BUSHEL' WHEN 3 THEN p_name || ' #' || CAST(p_partkey AS STRING) WHEN 4 THEN 'BUSHEL 1/' || CAST(p_size AS STRING) || ' ' || p_name
+          WHEN 5 THEN p_name || ' 60 BU' ELSE p_name || ' ' || CAST(p_size AS STRING) || 'LBS' END AS description,
+        CASE p_partkey % 3 WHEN 0 THEN CAST(p_size AS STRING) || '/4OZ' WHEN 1 THEN '' ELSE NULL END AS default_pack
+        FROM {part}""",
+    # what a recipe asks for, with quantities and units of every kind
+    "asked": """SELECT l_orderkey AS recipe_id, l_linenumber AS position, l_partkey AS product_id, l_quantity AS quantity, l_discount AS discount,
+        CASE l_linenumber % 8 WHEN 0 THEN 'oz' WHEN 1 THEN 'Lbs.' WHEN 2 THEN 'cup' WHEN 3 THEN 'each' WHEN 4 THEN '' WHEN 5 THEN 'can' WHEN 6 THEN 'strips' ELSE 'pinch' END AS unit,
+        CASE WHEN l_tax > 0.06 THEN 80.0 WHEN l_tax > 0.04 THEN 0.0 ELSE NULL END AS yield_pct, floor(l_extendedprice / 10) / 100 + 0.00137 AS case_price,
+        CASE WHEN l_returnflag = 'R' THEN l_linenumber + 1.5 ELSE NULL END AS per_pound
+        FROM {lineitem}""",
+}
+
+
+def views(*names: str) -> str:
+    """The same as common table expressions, those they need first."""
+    out: list[str] = []
+    for name in names:
+        for needed in re.findall(r"\{(\w+)\}", VIEWS[name]):
+            if needed in VIEWS:
+                out += [x for x in views(needed).split(",\n--\n") if x not in out]
+        text = f"{name} AS ({re.sub(r'[{](\w+)[}]', r'\1', VIEWS[name])})"
+        if text not in out:
+            out.append(text)
+    return ",\n--\n".join(out)
+
 
 def query(name: str, sql: str | None = None):
     def register(f: Callable[[Tables], DataFrame]):

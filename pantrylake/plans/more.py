@@ -17,24 +17,6 @@ def _beside(t):
     return t.part.select("p_partkey", text.words(F.col("p_name")).alias("x")).join(b, "p_partkey")
 
 
-@query("STR_06_abbreviation_expansion", "SELECT p_partkey, array_to_string(list_transform(string_split(lower(p_name), ' '), lambda w: CASE w WHEN 'small' THEN 'sm' WHEN 'large' THEN 'lg' ELSE w END), ' ') AS name FROM part")
-def _(t):
-    table = F.create_map(*map(F.lit, ("small", "sm", "large", "lg")))
-    words = F.transform(F.split(F.lower("p_name"), " "), lambda w: F.coalesce(F.try_element_at(table, w), w))
-    return t.part.select("p_partkey", F.array_join(words, " ").alias("name"))
-
-
-@query("STR_09_annotation_strip", "SELECT p_partkey, trim(regexp_replace(replace(p_name || ' NO SPLITS , ' || p_type, 'NO SPLITS', ''), '\\s*,\\s*', ', ', 'g')) AS name FROM part")
-def _(t):
-    whole = F.concat("p_name", F.lit(" NO SPLITS , "), "p_type")
-    return t.part.select("p_partkey", F.trim(F.regexp_replace(F.replace(whole, F.lit("NO SPLITS"), F.lit("")), r"\s*,\s*", ", ")).alias("name"))
-
-
-@query("STR_10_accent_fold", "SELECT p_partkey, p_name || ' creme puree' AS name FROM part")
-def _(t):
-    return t.part.select("p_partkey", F.translate(F.concat("p_name", F.lit(" crème purée")), "èé", "ee").alias("name"))
-
-
 @query("STR_11_overlap_gate", f"SELECT p_partkey, list_has_any(x, y) AS shared FROM {NEXT}")
 def _(t):
     return _beside(t).select("p_partkey", F.arrays_overlap("x", "y").alias("shared"))
@@ -51,68 +33,11 @@ def _(t):
     return t.supplier.select("s_suppkey", F.when(F.contains(name, F.lit("00001")), "first").when(F.contains(name, F.lit("2")), "second").otherwise("unknown").alias("vendor"))
 
 
-@query("STR_23_junk_classifier", "SELECT p_partkey, regexp_matches(lower(p_name), '^(small|red) ') AND NOT regexp_matches(lower(p_name), 'ring$') AS junk FROM part")
-def _(t):
-    name = F.lower("p_name")
-    return t.part.select("p_partkey", (F.rlike(name, F.lit("^(small|red) ")) & ~F.rlike(name, F.lit("ring$"))).alias("junk"))
-
-
 @query("STR_26_fraction", "WITH x AS (SELECT p_partkey, p_size, p_size % 12 AS r, CASE WHEN p_size >= 12 THEN (p_size // 12)::VARCHAR || ' ' ELSE '' END AS w FROM part) SELECT p_partkey, CASE r WHEN 0 THEN (p_size // 12)::VARCHAR WHEN 3 THEN w || '1/4' WHEN 4 THEN w || '1/3' WHEN 6 THEN w || '1/2' WHEN 8 THEN w || '2/3' WHEN 9 THEN w || '3/4' ELSE printf('%.2f', p_size / 12.0::DOUBLE) END AS shown FROM x")
 def _(t):
     return t.part.select("p_partkey", text.nearest_fraction(F.col("p_size") / 12).alias("shown"))
 
 
-@query("UNT_02_weight_from_text", "SELECT p_partkey, p_size::DOUBLE AS pounds FROM part")
-def _(t):
-    s = F.concat("p_name", F.lit(" "), F.col("p_size").cast("string"), F.lit(" LB AVG"))
-    return t.part.select("p_partkey", units.weight_in_text(s).alias("pounds"))
-
-
-@query("UNT_03_bushel_fraction", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN 1 + 1 / 9.0::DOUBLE WHEN 1 THEN 0.5::DOUBLE ELSE 1 END AS bushels FROM part")
-def _(t):
-    s = F.element_at(F.array(*map(F.lit, ("1-1/9 BUSHEL", "1/2 BUSHEL", "bushel"))), (F.col("p_partkey") % 3 + 1).cast("int"))
-    return t.part.select("p_partkey", units.bushels(s).alias("bushels"))
-
-
-@query("UNT_04_effective_pack", "SELECT p_partkey, CASE p_partkey % 3 WHEN 0 THEN p_size::DOUBLE WHEN 1 THEN 5 ELSE 25 END AS size FROM part")
-def _(t):
-    k = F.col("p_partkey") % 3
-    stated = F.when(k == 0, F.concat(F.col("p_size").cast("string"), F.lit("OZ"))).otherwise(F.lit("4"))
-    described = F.when(k == 1, F.lit("6/5LB"))
-    return t.part.select("p_partkey", units.effective_pack(stated, described, F.lit("25LB"))["pack_size"].alias("size"))
-
-
-@query("UNT_07_density_from_right", "SELECT p_partkey, CASE WHEN list_contains(string_split(p_name, ' '), 'ring') AND string_split(p_name, ' ')[-1] = 'ring' THEN 4.5::DOUBLE WHEN string_split(p_name, ' ')[-1] = 'widget' THEN 8.0 ELSE 6.0 END AS density FROM part")
-def _(t):
-    table = F.create_map(F.lit("ring"), F.lit(4.5), F.lit("widget"), F.lit(8.0))
-    hits = F.filter(F.transform(F.reverse(F.split("p_name", " ")), lambda w: F.try_element_at(table, w)), lambda x: x.isNotNull())
-    return t.part.select("p_partkey", F.coalesce(F.get(hits, 0), F.lit(6.0)).alias("density"))
-
-
-@query("UNT_13_unit_price", "SELECT p_partkey, round(p_retailprice / (1 + p_partkey % 12), 4) AS each FROM part")
-def _(t):
-    return t.part.select("p_partkey", F.round(F.col("p_retailprice") / (1 + F.col("p_partkey") % 12), 4).alias("each"))
-
-
-@query("UNT_14_price_per_pound", "SELECT p_partkey, CASE WHEN p_partkey % 2 = 0 THEN round(p_retailprice / p_size, 4) ELSE round(p_retailprice / 5, 4) END AS per_pound FROM part")
-def _(t):
-    pounds = F.coalesce(F.when(F.col("p_partkey") % 2 == 0, F.col("p_size").cast("double")), units.weight_in_text(F.lit("APPLES 5 LB")))
-    return t.part.select("p_partkey", F.round(F.col("p_retailprice") / pounds, 4).alias("per_pound"))
-
-
-@query("UNT_20_headcount_scaling", "SELECT p_partkey, 3.0::DOUBLE * 120 / CASE WHEN p_size > 10 THEN p_size ELSE 40 END AS quantity FROM part")
-def _(t):
-    serves = F.coalesce(F.when(F.col("p_size") > 10, F.col("p_size")), F.lit(40))
-    return t.part.select("p_partkey", (F.lit(3.0) * 120 / serves).alias("quantity"))
-
-
-@query("UNT_26_dish_score", "SELECT p_partkey, (CASE WHEN p_size > 25 THEN 3 ELSE 0 END) + (CASE WHEN p_type = 'ECONOMY' THEN 2 ELSE 0 END) AS score, array_to_string(list_filter([CASE WHEN p_size > 25 THEN 'size' END, CASE WHEN p_type = 'ECONOMY' THEN 'type' END], lambda x: x IS NOT NULL), ',') AS reasons FROM part")
-def _(t):
-    big, plain = F.col("p_size") > 25, F.col("p_type") == "ECONOMY"
-    reasons = F.array_compact(F.array(F.when(big, "size"), F.when(plain, "type")))
-    return t.part.select("p_partkey", (F.when(big, 3).otherwise(0) + F.when(plain, 2).otherwise(0)).alias("score"), F.array_join(reasons, ",").alias("reasons"))
-
-
 @query("DAT_05_day_difference", "SELECT o_orderkey, date_diff('day', CAST(o_orderdate AS DATE), DATE '2000-01-01') AS age FROM orders")
 def _(t):
     return t.orders.select("o_orderkey", F.datediff(F.lit("2000-01-01").cast("date"), F.to_date("o_orderdate")).cast("long").alias("age"))

@@ -11,12 +11,6 @@ from .base import query
 WORDS = "string_split(p_name, ' ')"
 
 
-@query("STR_04_naive_stem", f"SELECT p_partkey, array_to_string(list_transform({WORDS}, lambda w: CASE WHEN len(w) > 3 AND w LIKE '%s' THEN w[:-2] ELSE w END), ' ') AS stems FROM (SELECT p_partkey, lower(p_name) || 's gas' AS p_name FROM part)")
-def _(t):
-    words = F.split(F.concat("p_name", F.lit("s gas")), " ")
-    return t.part.select("p_partkey", F.array_join(F.transform(words, text.naive_stem), " ").alias("stems"))
-
-
 @query("STR_07_ocr_clean", r"SELECT p_partkey, regexp_replace(regexp_replace(p_size || '0Z LB' || replace(upper(p_name), ' ', ''), '([0-9]+)0Z\b', '\1 OZ', 'g'), '\b(OZ|LB|GAL|CT|CS|DZ|EA|KG|ML)([A-Z]{4,})', '\1 \2', 'g') AS cleaned FROM part")
 def _(t):
     raw = F.concat(F.col("p_size").cast("string"), F.lit("0Z LB"), F.replace(F.upper("p_name"), F.lit(" "), F.lit("")))
@@ -43,43 +37,11 @@ for _name, _rule in (("STR_15_token_sort", fuzzy.token_sort), ("STR_16_token_set
     query(_name)(lambda t, rule=_rule: _next_name(t).select("p_partkey", F.round(fuzzy.scorer(rule)("a", "b"), 6).alias("score")))
 
 
-@query("STR_19_food_score")
-def _(t):
-    x, y = (F.transform(F.split(c, " "), text.naive_stem) for c in ("a", "b"))
-    return _next_name(t).select("p_partkey", F.round(similarity.food_score(F.col("a"), F.col("b"), x, y, ["ring", "widget"]), 6).alias("score"))
-
-
-@query("STR_21_invoice_number", "SELECT p_partkey, CASE p_partkey % 3 WHEN 2 THEN NULL ELSE p_partkey::VARCHAR END AS number FROM part")
-def _(t):
-    k = F.col("p_partkey").cast("string")
-    raw = F.when(F.col("p_partkey") % 3 == 0, F.concat(F.lit("Invoice No: "), k)).when(F.col("p_partkey") % 3 == 1, F.concat(F.lit("INV# "), k, F.lit(" p. 7"))).otherwise("Statement")
-    return t.part.select("p_partkey", text.first_group(raw, [r"(?i)invoice\s*(?:no|number)?[:#.]*\s*([0-9]+)", r"(?i)\binv\s*#?\s*([0-9]+)"]).alias("number"))
-
-
 @query("STR_22_section_name", "SELECT p_partkey, CASE WHEN contains(upper(p_type), 'PROMO') THEN 'PROMO' WHEN contains(upper(p_type), 'ECON') THEN 'ECON' ELSE p_type END AS section FROM part")
 def _(t):
     return t.part.select("p_partkey", text.section_name(F.col("p_type"), ["PROMO", "ECON"]).alias("section"))
 
 
-@query("UNT_05_pack_candidates", "SELECT p_partkey, array_to_string(CASE p_partkey % 3 WHEN 0 THEN ['6/5LB', '25LB'] WHEN 1 THEN ['25LB', '4/10LB'] ELSE ['25LB'] END, ',') AS packs FROM part")
-def _(t):
-    stated = F.element_at(F.array(*map(F.lit, ("6/5LB", "4/10", "40/900"))), (F.col("p_partkey") % 3 + 1).cast("int"))
-    return t.part.select("p_partkey", F.array_join(units.pack_candidates(stated, F.lit("25LB"), F.lit(" 25LB"), F.lit("soon")), ",").alias("packs"))
-
-
-@query("UNT_08_piece_weight", "SELECT p_partkey, CASE WHEN p_type = 'ECONOMY' AND p_size % 2 = 0 THEN 4.5::DOUBLE WHEN p_type = 'PROMO' AND p_size % 2 = 1 THEN 9.0 END AS ounces FROM part")
-def _(t):
-    table = t.spark.createDataFrame([("ECONOMY", "each", 4.5), ("PROMO", "head", 9.0)], "p_type string, unit string, ounces double")
-    unit = F.when(F.col("p_size") % 2 == 0, "each").otherwise("head")
-    return t.part.withColumn("unit", unit).join(F.broadcast(table), ["p_type", "unit"], "left").select("p_partkey", "ounces")
-
-
-@query("UNT_12_menu_cost", "SELECT p_brand, sum(p_retailprice / p_size * 120) FILTER (p_size > 45) AS cost FROM part GROUP BY 1")
-def _(t):
-    priced = F.when(F.col("p_size") > 45, F.col("p_retailprice") / F.col("p_size") * 120)
-    return t.part.groupBy("p_brand").agg(F.sum(priced).alias("cost"))
-
-
 @query("UNT_15_received_count", "SELECT l_orderkey, l_linenumber, l_partkey, CASE l_linenumber % 3 WHEN 0 THEN NULL WHEN 1 THEN l_quantity * 6 ELSE l_quantity END AS count, CASE l_linenumber % 3 WHEN 0 THEN '#' ELSE 'Ea' END AS flag FROM lineitem")
 def _(t):
     k = F.col("l_linenumber") % 3
@@ -87,37 +49,6 @@ def _(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", units.received(kind, F.col("l_quantity"), F.lit(6), by).alias("r")).select("l_orderkey", "l_linenumber", "l_partkey", "r.*")
 
 
-@query("UNT_16_pack_decomposition", "SELECT p_partkey, 4 AS n, p_size::DOUBLE AS size, 'lb' AS unit, 4.0::DOUBLE * p_size AS pounds FROM part")
-def _(t):
-    pack = units.parse_pack(F.concat(F.lit("4/"), F.col("p_size").cast("string"), F.lit("LB")))
-    p = t.part.select("p_partkey", pack.alias("p"))
-    pounds = units.to_base(F.col("p.pack_count") * F.col("p.pack_size"), F.col("p.pack_unit")) / 16
-    return p.select("p_partkey", F.col("p.pack_count").alias("n"), F.col("p.pack_size").alias("size"), F.col("p.pack_unit").alias("unit"), pounds.alias("pounds"))
-
-
-@query("UNT_21_inventory_class", "SELECT p_partkey, CASE p_partkey % 4 WHEN 0 THEN 'counted_with_volume' WHEN 1 THEN 'weighed' END AS class, p_partkey % 4 = 0 AS mismatch FROM part")
-def _(t):
-    k = F.col("p_partkey") % 4
-    raw = F.concat("p_name", F.when(k == 0, " salmon stock").when(k == 1, " SHRIMP raw").when(k == 2, " anchovies").otherwise(" bacon"))
-    pack = F.when(k == 0, "4/1 GAL").when(k == 1, "10 LB").when(k == 2, "28 OZ")
-    return t.part.select("p_partkey", units.inventory_class(raw, pack).alias("class"), units.class_mismatch(F.lit("weighed"), raw, pack).alias("mismatch"))
-
-
-@query("UNT_24_price_alert", "WITH {LINES}, m AS (SELECT l_partkey, avg(price) AS mean FROM lines GROUP BY 1) SELECT CASE WHEN price / mean > 5 AND price > 50 THEN 'extended_leak' WHEN (price / mean > 2 OR price / mean < 0.5) AND (price < 5 OR mean < 5) THEN 'unit_drift' ELSE 'real_change' END AS class, count(*) AS n FROM lines JOIN m USING (l_partkey) GROUP BY 1")
-def _(t):
-    mean = t.lines.groupBy("l_partkey").agg(F.avg("price").alias("mean"))
-    same = F.array(F.lit("apple"), F.lit("red"))
-    return t.lines.join(mean, "l_partkey").groupBy(units.price_alert(F.col("price"), F.col("mean"), same, same, F.lit(1)).alias("class")).agg(F.count("*").alias("n"))
-
-
-@query("UNT_25_invoice_status", "WITH s AS (SELECT l_orderkey, sum(CAST(l_extendedprice AS DECIMAL(18,2)))::DOUBLE AS items FROM lineitem GROUP BY 1) SELECT CASE l_orderkey % 5 WHEN 0 THEN 'partial' WHEN 1 THEN 'pass' WHEN 2 THEN 'pass' WHEN 3 THEN 'review' ELSE 'fail' END AS status, count(*) AS n FROM s GROUP BY 1")
-def _(t):
-    s = t.lines.groupBy("l_orderkey").agg(F.sum("ext").cast("double").alias("items"))
-    k = F.col("l_orderkey") % 5
-    total = F.when(k == 1, F.col("items")).when(k == 2, F.col("items") * 1.005).when(k == 3, F.col("items") * 1.03).when(k == 4, F.col("items") * 2)
-    return s.groupBy(stats.invoice_status(F.col("items"), total, F.lit(0.0)).alias("status")).agg(F.count("*").alias("n"))
-
-
 @query("ENT_02_section_pool", "WITH p AS (SELECT p_partkey, p_type, p_brand, count(*) OVER (PARTITION BY p_brand, p_type) AS n FROM part) SELECT p_brand, p_type, count(*) AS pool FROM p WHERE n >= 3 GROUP BY 1, 2")
 def _(t):
     pool = t.part.groupBy("p_brand", "p_type").agg(F.count("*").alias("pool"))
