@@ -162,3 +162,35 @@ def variant_clusters(df: DataFrame, product: str, words: Column, least: int = 1)
         if new.where("cluster != _new").isEmpty():
             return label
         label = new.select("product", "variant", F.col("_new").alias("cluster"))
+
+
+#: Grams of a unit of goods by how they are counted: pounds, fluid ounces, pieces.
+GRAMS = {"weighed": 453.59237, "counted_with_volume": 29.5735, "counted_each": 50.0}
+
+
+def macros(rows: DataFrame, keys: list[str], kind: str, quantity: str, spend: str, nutrients: list[str], grams: dict[str, float] = GRAMS) -> DataFrame:
+    """(*keys, macro, grams, coverage, n): nutrients of 100 grams times the grams bought, by a weight rule for each class of
+    goods; coverage: the share of spend whose weight and nutrients are known."""
+    weight = F.try_element_at(F.create_map(*[F.lit(x) for kv in grams.items() for x in kv]), F.col(kind)) * F.col(quantity)
+    known = weight.isNotNull()
+    for c in nutrients:
+        known = known & F.col(c).isNotNull()
+    total = F.sum(F.when(known, F.col(spend)).otherwise(0)).cast("double") / F.sum(spend).cast("double")
+    g = rows.groupBy(*keys).agg(*[F.sum(weight * F.col(c) / 100).alias(c) for c in nutrients], total.alias("coverage"), F.count("*").alias("n"))
+    stacked = ", ".join(f"'{c}', `{c}`" for c in nutrients)
+    return g.select(*keys, F.expr(f"stack({len(nutrients)}, {stacked}) AS (macro, grams)"), "coverage", "n")
+
+
+def budget_trend(spend: DataFrame, heads: DataFrame, as_of: str, months: int, each: float, trust: float = 0.8) -> DataFrame:
+    """(month, spend, budget, pace) of the last months up to a day: the budget is so much a head, the pace its share that
+    has passed; the cached spend counts unless it is under `trust` of the reconciled one.
+
+    spend: (month, spend, cached). heads: (month, heads).
+    """
+    day = F.lit(as_of).cast("date")
+    spine = spend.sparkSession.range(months).select(F.trunc(F.add_months(day, -F.col("id").cast("int")), "month").alias("month"))
+    both = spine.join(spend, "month", "left").join(heads, "month", "left")
+    used = F.when(F.col("cached") < trust * F.col("spend"), F.col("spend")).otherwise(F.col("cached"))
+    budget = F.coalesce("heads", F.lit(0)) * each
+    share = F.when(F.col("month") == F.trunc(day, "month"), F.dayofmonth(day) / F.dayofmonth(F.last_day(day)).cast("double")).otherwise(1.0)
+    return both.select("month", F.coalesce(used, F.lit(0.0)).alias("spend"), budget.alias("budget"), (budget * share).alias("pace"))

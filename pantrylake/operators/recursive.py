@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .staging import cut
+
 DEPTH = 4
 
 
@@ -22,19 +24,26 @@ def expand(roots: DataFrame, edges: DataFrame, depth: int = DEPTH) -> DataFrame:
     return out
 
 
-def closure(tree: DataFrame, start: Column, depth: int = 16) -> DataFrame:
-    """(node, level): the root above the started node and all nodes below it. tree: (node, parent), parent null at a root."""
-    spark = tree.sparkSession
-    tree.createOrReplaceTempView("_closure_tree")
-    tree.where(start).createOrReplaceTempView("_closure_start")
-    return spark.sql(
-        f"""
-        WITH RECURSIVE up(node, parent, hops) AS (
-          SELECT node, parent, 0 FROM _closure_start
-          UNION ALL SELECT t.node, t.parent, u.hops + 1 FROM up u JOIN _closure_tree t ON t.node = u.parent WHERE u.hops < {depth}),
-        down(node, level) AS (
-          SELECT node, 0 FROM up WHERE parent IS NULL
-          UNION ALL SELECT t.node, d.level + 1 FROM down d JOIN _closure_tree t ON t.parent = d.node WHERE d.level < {depth})
-        SELECT node, CAST(min(level) AS BIGINT) AS level FROM down GROUP BY node
-        """
-    )
+def closure(tree: DataFrame, start: Column) -> DataFrame:
+    """(node, level): the root above each started node and all nodes below it, each at its least level.
+
+    tree: (node, parent), parent null at a root. A level is one join, and its rows are written before the next; nodes
+    met before are not followed again, so a cycle ends. There is no limit of depth.
+    """
+    edges = tree.select(F.col("node").alias("_n"), F.col("parent").alias("_p"))
+    up = cut(tree.where(start).select("node", "parent").distinct())
+    seen, roots = up.select("node"), up.where("parent IS NULL").select("node")
+    while True:
+        up = up.where("parent IS NOT NULL").join(edges, F.col("parent") == F.col("_n")).select(F.col("_n").alias("node"), F.col("_p").alias("parent")).distinct()
+        up = cut(up.join(seen, "node", "left_anti"))
+        if up.isEmpty():
+            break
+        seen, roots = cut(seen.unionByName(up.select("node"))), cut(roots.unionByName(up.where("parent IS NULL").select("node")))
+    level, out = cut(roots.distinct().select("node", F.lit(0).cast("long").alias("level"))), None
+    out = level
+    while True:
+        level = level.join(edges, F.col("node") == F.col("_p")).select(F.col("_n").alias("node"), (F.col("level") + 1).alias("level")).distinct()
+        level = cut(level.join(out.select("node"), "node", "left_anti"))
+        if level.isEmpty():
+            return out
+        out = cut(out.unionByName(level))

@@ -109,3 +109,34 @@ def peer_count(rows: DataFrame, key: str, value: str, low: float, high: float) -
     inside = at(2) - at(0) - F.max("_p.count")
     near = run.groupBy("_key", "_own").agg(F.when(F.col("_own") >= 0, inside).otherwise(0).alias("_peers"))
     return keyed.join(near, ["_key", "_own"], "left").select(F.col("_key").alias(key), F.col("_own").alias(value), F.coalesce("_peers", F.lit(0)).cast("long").alias("peers"))
+
+
+def neighbour_rule(rows: DataFrame, day: str, slot: str, value: str) -> DataFrame:
+    """rows with as_yesterday (the value of the dinner before) and as_lunch (a dinner with the value of that day's lunch)."""
+    before = rows.where(F.col(slot) == "dinner").select(F.date_add(day, 1).alias("_day"), F.col(value).alias("_before"))
+    lunch = rows.where(F.col(slot) == "lunch").select(F.col(day).alias("_on"), F.col(value).alias("_lunch"))
+    both = rows.join(before, F.col(day) == F.col("_day"), "left").join(lunch, F.col(day) == F.col("_on"), "left")
+    same = lambda c: F.coalesce(F.col(value) == F.col(c), F.lit(False))
+    return both.withColumn("as_yesterday", same("_before")).withColumn("as_lunch", same("_lunch") & (F.col(slot) == "dinner")).drop("_day", "_before", "_on", "_lunch")
+
+
+def best_version(df: DataFrame, keys: list[str], code: str, order: list[Column]) -> DataFrame:
+    """One row of each code, the first in order; rows without a code all stay."""
+    coded = F.coalesce(F.col(code).cast("string"), F.lit("")) != ""
+    return latest_per_key(df.where(coded), [*keys, code], order).unionByName(df.where(~coded))
+
+
+def nearest_list(left: DataFrame, right: DataFrame, keys: list[str], at: str, place: str, value: str) -> DataFrame:
+    """left with the right value of its key whose place is nearest (the lower of two equally near): one sorted pass over
+    both, with the last place at or below and the first above, so hot keys make no pairs."""
+    kind = left.schema[at].dataType
+    rows = left.select(*keys, F.col(at).alias("_at"), F.lit(1).alias("_side"), F.struct(*[F.col(c) for c in left.columns]).alias("_row"), F.lit(None).cast(right.schema[value].dataType).alias("_v"))
+    marks = right.select(*keys, F.col(place).cast(kind).alias("_at"), F.lit(0).alias("_side"), F.lit(None).cast(rows.schema["_row"].dataType).alias("_row"), F.col(value).alias("_v"))
+    both = rows.unionByName(marks.groupBy(*keys, "_at", "_side", "_row").agg(F.min("_v").alias("_v")))
+    mark = F.when(F.col("_side") == 0, F.struct("_at", "_v"))
+    w = Window.partitionBy(*keys).orderBy("_at", "_side")
+    below = F.last(mark, ignorenulls=True).over(w.rowsBetween(Window.unboundedPreceding, 0))
+    above = F.first(mark, ignorenulls=True).over(w.rowsBetween(0, Window.unboundedFollowing))
+    both = both.withColumn("_b", below).withColumn("_a", above).where("_side = 1")
+    near = F.when(F.col("_b").isNull(), F.col("_a")).when(F.col("_a").isNull(), F.col("_b")).when(F.col("_a._at") - F.col("_at") < F.col("_at") - F.col("_b._at"), F.col("_a")).otherwise(F.col("_b"))
+    return both.withColumn("_n", near).where("_n IS NOT NULL").select("_row.*", F.col("_n._v").alias(value), F.col("_n._at").alias(place))

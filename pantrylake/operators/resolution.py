@@ -415,3 +415,28 @@ def recover_codes(rows: DataFrame, missing: DataFrame, near: int = 3, high: floa
     pairs = band_pairs(m, k, "_a", "_b", medium).join(m, "_a").join(k, "_b")
     best = extract_one(pairs, "missing_id", "t", fuzzy.scorer(fuzzy.token_sort)(F.col("w"), F.col("t")), medium)
     return best.select("missing_id", "code", F.when(F.col("score") >= high, "high").otherwise("medium").alias("certainty"))
+
+
+def converged(proposals: DataFrame, triple: list[str], source: str, order: str) -> DataFrame:
+    """(*triple, n, first, also): proposals of the same triple as one: the source that made it first, and the others."""
+    g = proposals.groupBy(*triple).agg(F.count("*").alias("n"), F.min_by(source, F.struct(order, source)).alias("first"), F.sort_array(F.collect_set(source)).alias("_all"))
+    return g.select(*triple, "n", "first", F.array_remove("_all", F.col("first")).alias("also"))
+
+
+def approve(lines: DataFrame, mappings: DataFrame, approved: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(mappings, lines) after approvals (vendor, raw, product): a mapping for each, replacing an older one, and all lines
+    of that vendor and text that have no product yet get it."""
+    new = approved.groupBy("vendor", "raw").agg(F.min("product").alias("product"))
+    kept = mappings.join(new.select("vendor", "raw"), ["vendor", "raw"], "left_anti")
+    filled = lines.join(new.withColumnRenamed("product", "_p"), ["vendor", "raw"], "left").withColumn("product", F.coalesce("product", "_p")).drop("_p")
+    return kept.unionByName(new), filled
+
+
+def merge_products(products: DataFrame, facts: dict[str, DataFrame], moves: DataFrame) -> tuple[DataFrame, dict[str, DataFrame], DataFrame]:
+    """(products, facts, refused) after merges (old, new): facts are pointed to the new product, and old ones go. Refused:
+    a merge into itself, into a product that is not there or that goes itself."""
+    gone = moves.where("old != new").select(F.col("old").alias("_gone"))
+    good = moves.where("old != new").join(products.select(F.col("product").alias("new")), "new", "left_semi").join(gone, F.col("new") == F.col("_gone"), "left_anti")
+    good = good.groupBy("old").agg(F.min("new").alias("new"))
+    moved = {k: f.join(good, F.col("product") == F.col("old"), "left").withColumn("product", F.coalesce("new", "product")).drop("old", "new") for k, f in facts.items()}
+    return products.join(good, F.col("product") == F.col("old"), "left_anti"), moved, moves.join(good.select("old"), "old", "left_anti")

@@ -1,72 +1,131 @@
-"""Similarity joins, blocked on shared tokens so that no pair without one is ever made."""
+"""Similarity joins, blocked so that only pairs are made that can reach the threshold."""
 
 from __future__ import annotations
 
+import math
 from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from ..functions import fuzzy, text
+from ..functions import fuzzy, tables, text
+from .relational import latest_per_key
+
+
+def _rarest_first(sets: DataFrame, counted: DataFrame, key: str) -> DataFrame:
+    """sets (key, _t) with _t in order of how rare its tokens are among `counted` (key, _t), the rarest first."""
+    n = counted.select(F.explode("_t").alias("_w")).groupBy("_w").agg(F.count("*").alias("_n"))
+    each = sets.select(key, F.explode("_t").alias("_w")).join(n, "_w", "left").select(key, F.struct(F.coalesce("_n", F.lit(0)).alias("n"), F.col("_w").alias("w")).alias("_x"))
+    return each.groupBy(key).agg(F.transform(F.array_sort(F.collect_list("_x")), lambda x: x["w"]).alias("_t"))
 
 
 def jaccard_best(left: DataFrame, right: DataFrame, left_id: str, right_id: str, tokens: str, threshold: float, least: int = 2, apart: bool = False) -> DataFrame:
     """Each left row's best right row by Jaccard of token sets (lowest id of equals), at the threshold or above.
 
-    apart: both sides are one table, and no row is matched with its own id.
+    apart: both sides are one table, and no row is matched with its own id. Equal sets are one set with its two lowest
+    ids. Two sets of Jaccard j share a token among the first n - ceil(j * n) + 1 of each, whatever the order of tokens,
+    so sets meet only in those, with the rarest tokens first: a common token makes pairs only of sets that lack others.
+    """
+    key = lambda c: F.array_join(F.array_sort(c), "\u0001")
+    side = lambda df, i: df.where(F.size(tokens) >= least).select(F.col(i).alias("_id"), F.array_distinct(tokens).alias("_t")).withColumn("_k", key(F.col("_t")))
+    a, b = side(left, left_id), side(right, right_id)
+    low = b.groupBy("_k").agg(F.first("_t").alias("_t"), F.min("_id").alias("_r1"))
+    second = b.join(low.select("_k", "_r1"), "_k").where("_id > _r1").groupBy("_k").agg(F.min("_id").alias("_r2"))
+    sets_b, sets_a = low.join(second, "_k", "left"), a.groupBy("_k").agg(F.first("_t").alias("_t"))
+    every = sets_a.select("_k", "_t").unionByName(sets_b.select("_k", "_t")).dropDuplicates(["_k"])
+    ordered = _rarest_first(every, every, "_k")
+    cut = F.slice("_t", F.lit(1), (F.size("_t") - F.ceil(threshold * F.size("_t") - 1e-9) + 1).cast("int"))
+    head = ordered.select("_k", F.explode(cut).alias("_w"))
+    x = head.join(sets_a.select("_k"), "_k", "left_semi").select(F.col("_k").alias("_ka"), "_w")
+    y = head.join(sets_b.select("_k"), "_k", "left_semi").select(F.col("_k").alias("_kb"), "_w")
+    pairs = x.join(y, "_w").select("_ka", "_kb").distinct()
+    full = pairs.join(sets_a.select(F.col("_k").alias("_ka"), F.col("_t").alias("_ta")), "_ka").join(sets_b.select(F.col("_k").alias("_kb"), F.col("_t").alias("_tb"), "_r1", "_r2"), "_kb")
+    both = F.size(F.array_intersect("_ta", "_tb"))
+    scored = full.withColumn("score", both / (F.size("_ta") + F.size("_tb") - both)).where(F.col("score") >= threshold)
+    # a left row's best is among the best two sets: only its own id can put one of them back
+    w = Window.partitionBy("_ka").orderBy(F.col("score").desc(), "_r1")
+    top = scored.withColumn("_n", F.row_number().over(w)).where("_n <= 2").select(F.col("_ka").alias("_k"), "score", "_r1", "_r2")
+    met = a.select("_id", "_k").join(top, "_k")
+    other = F.when(F.col("_r1") != F.col("_id"), F.col("_r1")).otherwise(F.col("_r2")) if apart else F.col("_r1")
+    return latest_per_key(met.withColumn("_r", other).where("_r IS NOT NULL"), ["_id"], [F.desc("score"), F.col("_r")]).select(F.col("_id").alias(left_id), F.col("_r").alias(right_id), "score")
+
+
+def subset_match(raw: DataFrame, names: DataFrame, raw_id: str, name: str, raw_tokens: str, name_tokens: str, noise: list[str] | None = None, heads: list[str] | None = None) -> DataFrame:
+    """Names all of whose tokens occur in a raw text, the most specific one if it stands alone.
+
+    Names of noise alone match nothing, and where a text has a head noun, a name must have one of the text's. A name meets
+    the texts that have its rarest token.
     """
-    a, b = (df.select(F.col(i).alias(n), F.col(tokens).alias(t)) for df, i, n, t in ((left, left_id, "_l", "_lt"), (right, right_id, "_r", "_rt")))
-    a, b = a.where(F.size("_lt") >= least), b.where(F.size("_rt") >= least)
-    # overlaps are counted by token; sizes ride along, so token arrays are not shuffled again
-    x = a.select("_l", F.size("_lt").alias("_ln"), F.explode("_lt").alias("_token"))
-    y = b.select("_r", F.size("_rt").alias("_rn"), F.explode("_rt").alias("_token"))
-    met = x.join(y, "_token").where("_l != _r") if apart else x.join(y, "_token")
-    shared = met.groupBy("_l", "_r").agg(F.count("*").alias("_both"), F.first("_ln").alias("_ln"), F.first("_rn").alias("_rn"))
-    scored = shared.withColumn("score", F.col("_both") / (F.col("_ln") + F.col("_rn") - F.col("_both"))).where(F.col("score") >= threshold)
-    w = Window.partitionBy("_l").orderBy(F.col("score").desc(), "_r")
-    return scored.withColumn("_k", F.row_number().over(w)).where("_k = 1").select(F.col("_l").alias(left_id), F.col("_r").alias(right_id), "score")
-
-
-def subset_match(raw: DataFrame, names: DataFrame, raw_id: str, name: str, raw_tokens: str, name_tokens: str) -> DataFrame:
-    """Names all of whose tokens occur in a raw text, the most specific one if it stands alone."""
-    need = names.select(name, F.size(name_tokens).alias("_need"), F.explode(name_tokens).alias("_token"))
-    have = raw.select(raw_id, F.explode(raw_tokens).alias("_token"))
-    hits = have.join(need, "_token").groupBy(raw_id, name).agg(F.count("*").alias("_hit"), F.first("_need").alias("_need")).where("_hit = _need")
+    noise, heads = (tables.PACKAGING if noise is None else noise), (tables.DISHES if heads is None else heads)
+    lits = lambda ws: F.array(*map(F.lit, ws)) if ws else F.array().cast("array<string>")
+    have = raw.select(raw_id, F.array_distinct(raw_tokens).alias("_t"))
+    need = names.select(name, F.array_distinct(name_tokens).alias("_t")).where((F.size("_t") > 0) & (F.size(F.array_except("_t", lits(noise))) > 0))
+    rare = _rarest_first(need, have, name).select(name, F.get("_t", 0).alias("_w"), F.col("_t").alias("_need"))
+    met = have.select(raw_id, F.col("_t").alias("_have"), F.explode("_t").alias("_w")).join(rare, "_w").where(F.size(F.array_except("_need", "_have")) == 0)
+    own = F.array_intersect("_have", lits(heads))
+    met = met.where((F.size(own) == 0) | F.arrays_overlap("_need", own)).select(raw_id, name, F.size("_need").alias("_n"))
     w = Window.partitionBy(raw_id)
-    top = hits.withColumn("_most", F.max("_need").over(w)).where("_need = _most").withColumn("_alone", F.count("*").over(w)).where("_alone = 1")
-    return top.select(raw_id, name, F.col("_need").cast("long").alias("n_tokens"))
+    top = met.withColumn("_most", F.max("_n").over(w)).where("_n = _most").withColumn("_alone", F.count("*").over(w)).where("_alone = 1")
+    return top.select(raw_id, name, F.col("_n").cast("long").alias("n_tokens"))
+
+
+def greedy_match(left: DataFrame, right: DataFrame, group: str, a: str, b: str, tokens: str, low: float = 0.7) -> DataFrame:
+    """(group, a, b, score): one to one within a group, in the order of the left ids: equal token sets first, then the
+    best Jaccard from `low` on of the right rows that are left (the lowest id of equals). Groups are small."""
+    import pandas as pd
+
+    def match(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
+        free = {i: frozenset(t) for i, t in sorted(zip(y[b], y[tokens]))}
+        rows, out = [(i, frozenset(t)) for i, t in sorted(zip(x[a], x[tokens]))], []
+        taken = set()
+        for i, t in rows:
+            same = next((j for j, u in free.items() if u == t and t), None)
+            if same is not None:
+                out.append((key[0], i, same, 1.0))
+                taken.add(i)
+                del free[same]
+        for i, t in rows:
+            if i in taken or not t:
+                continue
+            best, score = None, 0.0
+            for j, u in free.items():
+                s = len(t & u) / len(t | u)
+                if s >= low and s > score:
+                    best, score = j, s
+            if best is not None:
+                out.append((key[0], i, best, score))
+                del free[best]
+        return pd.DataFrame(out, columns=[group, a, b, "score"])
+
+    kinds = {f.name: f.dataType.simpleString() for f in [*left.schema, *right.schema]}
+    schema = f"{group} {kinds[group]}, {a} {kinds[a]}, {b} {kinds[b]}, score double"
+    return left.select(group, a, tokens).groupBy(group).cogroup(right.select(group, b, tokens).groupBy(group)).applyInPandas(match, schema)
 
 
 def typo_pairs(names: DataFrame, name: str, score: Callable[[Column, Column], Column], low: float = 90.0, length: int = 3) -> DataFrame:
     """Pairs of distinct names that are alike but not equal; skipped only if both have words of four letters or more
-    and share none.
+    and share none, or their lengths differ by more."""
+    from .resolution import band_pairs
 
-    Names with such a word meet in its block. Those without meet all names of a like length.
-    """
     long_words = F.filter(text.words(F.col(name)), lambda w: F.length(w) >= 4)
-    unique = names.select(name).where(F.col(name).isNotNull()).distinct().select(F.col(name).alias("a"), long_words.alias("_long"), F.length(name).alias("_n"))
-    block = unique.select("a", F.explode("_long").alias("_w"))
-    shared = block.join(block.withColumnRenamed("a", "b"), "_w").select("a", "b")
-    band = unique.where(F.size("_long") == 0).select("a", F.explode(F.sequence(F.col("_n") - length, F.col("_n") + length)).alias("_n"))
-    rest = band.join(unique.select(F.col("a").alias("b"), "_n"), "_n").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b"))
-    pairs = shared.unionByName(rest).where((F.col("a") < F.col("b")) & (F.abs(F.length("a") - F.length("b")) <= length)).distinct()
+    unique = names.select(name).where(F.col(name).isNotNull()).distinct().select(F.col(name).alias("a"), long_words.alias("_x"), F.length(name).alias("_m"))
+    other = unique.select(F.col("a").alias("b"), F.col("_x").alias("_y"), F.col("_m").alias("_n"))
+    pairs = band_pairs(unique, other, "a", "b", low).where("a < b").join(unique, "a").join(other, "b")
+    shares = (F.size("_x") == 0) | (F.size("_y") == 0) | F.arrays_overlap("_x", "_y")
+    pairs = pairs.where(shares & (F.abs(F.col("_m") - F.col("_n")) <= length)).select("a", "b")
     return pairs.withColumn("ratio", score(F.col("a"), F.col("b"))).where((F.col("ratio") >= low) & (F.col("ratio") < 100))
 
 
 def best_of_all(names: DataFrame, name: str, low: float) -> DataFrame:
-    """Each name's best other name by token-sort ratio (first of equals), at `low` or above: (name, other, score).
-
-    All pairs are scored whose lengths allow the ratio: 2 * LCS is at most twice the shorter one's length.
-    """
-    from .relational import latest_per_key
-
-    size = F.length(F.trim(F.regexp_replace(F.col(name), r"(?U)[\s\x1c-\x1f]+", " ")))
-    a = names.select(name).where(F.col(name).isNotNull()).distinct().withColumn("_n", size)
-    b = a.select(F.col(name).alias("other"), F.col("_n").alias("_m"))
-    fits = 200 * F.least("_n", "_m") >= low * (F.col("_n") + F.col("_m"))
-    pairs = a.join(b, (F.col(name) != F.col("other")) & fits).select(name, "other")
-    scored = pairs.withColumn("score", fuzzy.scorer(fuzzy.token_sort)(F.col(name), F.col("other"))).where(F.col("score") >= low)
-    return latest_per_key(scored, [name], [F.desc("score"), F.col("other")])
+    """Each name's best other name by token-sort ratio (first of equals), at `low` or above: (name, other, score)."""
+    from .resolution import band_pairs
+
+    words = F.filter(F.split(F.col(name), r"(?U)[\s\x1c-\x1f]+"), lambda w: w != "")
+    a = names.select(name).where(F.col(name).isNotNull()).distinct().withColumn("_a", F.array_join(F.array_sort(words), " "))
+    b = a.select(F.col(name).alias("other"), F.col("_a").alias("_b"))
+    pairs = band_pairs(a, b, "_a", "_b", low).join(a, "_a").join(b, "_b").where(F.col(name) != F.col("other"))
+    scored = pairs.withColumn("score", fuzzy.scorer(fuzzy.indel)(F.col("_a"), F.col("_b"))).where(F.col("score") >= low)
+    return latest_per_key(scored.select(name, "other", "score"), [name], [F.desc("score"), F.col("other")])
 
 
 def resolve(items: DataFrame, mappings: DataFrame, item_id: str, tiers: list[tuple[str, Column, Column]]) -> DataFrame:

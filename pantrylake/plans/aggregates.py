@@ -101,12 +101,6 @@ def _(t):
     return t.lineitem.groupBy("l_suppkey").agg(F.round(F.sum(d * q).cast("double") / F.sum(q).cast("double"), 6).alias("ratio_of_sums"), F.round(F.sum(d).cast("double") / F.count("*"), 6).alias("mean_of_ratios"))
 
 
-@query("AGG_17_weighted_macros", "WITH {LINES}, g AS (SELECT p_type, sum(l_quantity * p_size) AS protein, sum(l_quantity * (50 - p_size)) AS fat FROM lines JOIN part ON p_partkey = l_partkey GROUP BY 1) SELECT p_type, 'protein' AS macro, protein AS grams FROM g UNION ALL SELECT p_type, 'fat', fat FROM g")
-def _(t):
-    g = t.lines.join(t.part, F.col("p_partkey") == F.col("l_partkey")).groupBy("p_type").agg(F.sum(F.col("l_quantity") * F.col("p_size")).alias("protein"), F.sum(F.col("l_quantity") * (50 - F.col("p_size"))).alias("fat"))
-    return g.select("p_type", F.expr("stack(2, 'protein', protein, 'fat', fat) AS (macro, grams)"))
-
-
 @query("AGG_18_age_buckets", "WITH {LINES}, m AS (SELECT p_partkey, max(day) AS last FROM part LEFT JOIN lines ON l_partkey = p_partkey AND l_quantity > 40 GROUP BY 1), a AS (SELECT DATE '2001-11-30' - last AS age FROM m) SELECT CASE WHEN age IS NULL THEN 'none' WHEN age <= 30 THEN 'fresh' WHEN age <= 90 THEN 'aging' WHEN age <= 365 THEN 'stale' ELSE 'cold' END AS bucket, count(*) AS n FROM a GROUP BY 1")
 def _(t):
     last = t.lines.where("l_quantity > 40").groupBy("l_partkey").agg(F.max("day").alias("last"))
@@ -115,12 +109,6 @@ def _(t):
     return t.part.join(last, F.col("p_partkey") == F.col("l_partkey"), "left").groupBy(bucket.alias("bucket")).agg(F.count("*").alias("n"))
 
 
-@query("AGG_19_classified_count", "SELECT CASE WHEN l_discount = 0 THEN 'priced' WHEN l_quantity < 5 THEN 'too few' WHEN l_tax > 0.05 THEN 'taxed' ELSE 'other' END AS class, count(*) AS n, min(l_orderkey) AS first_sample FROM lineitem GROUP BY 1")
-def _(t):
-    kind = F.when(F.col("l_discount") == 0, "priced").when(F.col("l_quantity") < 5, "too few").when(F.col("l_tax") > 0.05, "taxed").otherwise("other")
-    return t.lineitem.groupBy(kind.alias("class")).agg(F.count("*").alias("n"), F.min("l_orderkey").alias("first_sample"))
-
-
 @query("AGG_20_field_coverage", "SELECT source, count(*) AS n, count(*) FILTER (text IS NOT NULL AND text <> '') AS has_text, count(*) FILTER (lang IS NOT NULL AND lang <> '') AS has_lang FROM documents GROUP BY ROLLUP (source)")
 def _(t):
     return quality.coverage(t.documents, "source", ["text", "lang"])
@@ -182,19 +170,6 @@ def _(t):
     return g.select("l_suppkey", stats.percent_clipped(F.col("a"), F.col("b")).alias("rate"))
 
 
-@query("AGG_30_stock_coverage", "SELECT l_orderkey, CASE WHEN bool_and(l_quantity > 10) THEN 'covered' WHEN bool_or(l_quantity > 40) THEN 'incomplete' ELSE 'unlinked' END AS state FROM lineitem GROUP BY 1")
-def _(t):
-    return t.lineitem.groupBy("l_orderkey").agg(F.when(F.every(F.col("l_quantity") > 10), "covered").when(F.some(F.col("l_quantity") > 40), "incomplete").otherwise("unlinked").alias("state"))
-
-
-@query("AGG_31_month_series_with_gaps", "WITH {LINES}, m AS (SELECT unnest(generate_series(DATE '1995-01-01', DATE '2001-11-01', INTERVAL 1 MONTH))::DATE AS month), s AS (SELECT date_trunc('month', day)::DATE AS month, sum(ext)::DOUBLE AS spend FROM lines WHERE l_partkey = 7 GROUP BY 1) SELECT CAST(m.month AS VARCHAR) AS month, coalesce(spend, 0) AS spend FROM m LEFT JOIN s USING (month)")
-def _(t):
-    lines = t.lines
-    spine = relational.month_spine(lines, "day")
-    s = lines.where("l_partkey = 7").groupBy(F.trunc("day", "month").alias("month")).agg(money("ext").alias("spend"))
-    return spine.join(s, "month", "left").select(F.col("month").cast("string").alias("month"), F.coalesce("spend", F.lit(0.0)).alias("spend"))
-
-
 @query("AGG_31_month_series_by_type", "WITH {LINES}, m AS (SELECT unnest(generate_series((SELECT date_trunc('month', min(day))::DATE FROM lines), (SELECT max(day) FROM lines), INTERVAL 1 MONTH))::DATE AS month), ty AS (SELECT DISTINCT p_type FROM part), s AS (SELECT p_type, date_trunc('month', day)::DATE AS month, sum(ext)::DOUBLE AS spend FROM lines JOIN part ON p_partkey = l_partkey GROUP BY 1, 2) SELECT p_type, CAST(m.month AS VARCHAR) AS month, coalesce(spend, 0) AS spend FROM m CROSS JOIN ty LEFT JOIN s USING (p_type, month)")
 def _(t):
     lines = t.lines
@@ -259,39 +234,11 @@ def _(t):
     return x.select(F.when((F.col("a") >= 0.9) & (F.col("b") < 0.3), "green").when(F.col("a") >= 0.5, "amber").otherwise("red").alias("verdict"))
 
 
-@query("ENT_01_tiered_resolution", "WITH m AS (SELECT p_name AS nm, min(p_partkey) AS target FROM part WHERE p_partkey % 2 = 0 GROUP BY 1), f AS (SELECT split_part(p_name, ' ', 1) AS w, min(p_partkey) AS target FROM part WHERE p_partkey % 2 = 0 GROUP BY 1) SELECT p_partkey, coalesce(m.target, f.target) AS target, CASE WHEN m.target IS NOT NULL THEN 'exact' WHEN f.target IS NOT NULL THEN 'first word' ELSE 'unmatched' END AS tier FROM part LEFT JOIN m ON nm = p_name LEFT JOIN f ON w = split_part(p_name, ' ', 1) WHERE p_partkey % 2 = 1")
-def _(t):
-    from ..operators.similarity import resolve
-
-    maps = t.part.where("p_partkey % 2 = 0").select(F.col("p_name").alias("m_name"), F.col("p_partkey").alias("target"))
-    items = t.part.where("p_partkey % 2 = 1").select("p_partkey", "p_name")
-    first = lambda c: F.split_part(F.col(c), F.lit(" "), F.lit(1))
-    return resolve(items, maps, "p_partkey", [("exact", F.col("p_name"), F.col("m_name")), ("first word", first("p_name"), first("m_name"))]).select("p_partkey", "target", "tier")
-
-
-@query("ENT_06_proposal_convergence", "SELECT l_partkey, l_suppkey, count(*) AS n, array_to_string(list_sort(list_distinct(list(l_returnflag))), ',') AS sources FROM lineitem GROUP BY 1, 2 HAVING count(DISTINCT l_returnflag) > 1")
-def _(t):
-    return t.lineitem.groupBy("l_partkey", "l_suppkey").agg(F.count("*").alias("n"), F.array_join(F.sort_array(F.collect_set("l_returnflag")), ",").alias("sources"), F.countDistinct("l_returnflag").alias("k")).where("k > 1").drop("k")
-
-
 @query("ENT_08_unmapped_queue", "SELECT l_suppkey, l_partkey, count(*) AS n FROM lineitem WHERE l_partkey NOT IN (SELECT p_partkey FROM part WHERE p_size > 10) GROUP BY 1, 2 HAVING count(*) >= 2")
 def _(t):
     return t.lineitem.join(t.part.where("p_size > 10"), F.col("p_partkey") == F.col("l_partkey"), "left_anti").groupBy("l_suppkey", "l_partkey").agg(F.count("*").alias("n")).where("n >= 2")
 
 
-@query("ENT_17_merge_dimension", "SELECT CASE WHEN l_partkey % 10 = 3 THEN l_partkey - 3 ELSE l_partkey END AS part, count(*) AS n FROM lineitem GROUP BY 1")
-def _(t):
-    moved = t.part.where("p_partkey % 10 = 3").select(F.col("p_partkey").alias("old"), (F.col("p_partkey") - 3).alias("new"))
-    return t.lineitem.join(moved, F.col("old") == F.col("l_partkey"), "left").groupBy(F.coalesce("new", "l_partkey").alias("part")).agg(F.count("*").alias("n"))
-
-
-@query("QRY_06_spend_versus_budget", "WITH {LINES}, s AS (SELECT date_trunc('month', day)::DATE m, sum(ext)::DOUBLE spend FROM lines GROUP BY 1), h AS (SELECT date_trunc('month', o_orderdate)::DATE m, count(*) n FROM orders GROUP BY 1) SELECT CAST(s.m AS VARCHAR) AS month, spend, round(coalesce(n, 0) * 346.67, 2) AS budget FROM s LEFT JOIN h ON h.m = s.m")
-def _(t):
-    s = t.lines.groupBy(F.trunc("day", "month").alias("m")).agg(money("ext").alias("spend"))
-    h = t.orders.groupBy(F.trunc(F.to_date("o_orderdate"), "month").alias("m")).agg(F.count("*").alias("n"))
-    return s.join(h, "m", "left").select(F.col("m").cast("string").alias("month"), "spend", F.round(F.coalesce("n", F.lit(0)) * 346.67, 2).alias("budget"))
-
-
 @query("QRY_10_popularity_top_bottom", "WITH g AS (SELECT user_id, round(avg(value), 6) AS rate, count(*) AS n FROM events WHERE event_type = 'view' GROUP BY 1 HAVING count(*) >= 3) (SELECT 'top' AS side, user_id, rate FROM g ORDER BY rate DESC, user_id LIMIT 10) UNION ALL (SELECT 'bottom', user_id, rate FROM g ORDER BY rate, user_id LIMIT 10)")
 def _(t):
     g = t.events.where("event_type = 'view'").groupBy("user_id").agg(F.round(F.avg("value"), 6).alias("rate"), F.count("*").alias("n")).where("n >= 3")

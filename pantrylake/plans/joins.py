@@ -96,15 +96,6 @@ def _(t):
     return t.orders.join(a, F.col("k") == F.col("o_orderkey"), "left").join(b, F.col("c") == F.col("o_custkey"), "left").select("o_orderkey", F.coalesce("na", "nb").alias("n"))
 
 
-@query("JOI_14_nearest_value", "WITH {LINES} SELECT l_orderkey, l_linenumber, l_partkey, price, p.p_retailprice AS list_price FROM lines JOIN part x ON x.p_partkey = l_partkey JOIN part p ON p.p_name = x.p_name WHERE l_quantity = 50 QUALIFY row_number() OVER (PARTITION BY l_orderkey, l_linenumber, l_partkey, price ORDER BY abs(price - p.p_retailprice), p.p_partkey) = 1")
-def _(t):
-    names = t.part.select(F.col("p_partkey").alias("l_partkey"), "p_name")
-    lines = t.lines.where("l_quantity = 50").join(names, "l_partkey")
-    lists = t.part.select("p_name", F.col("p_partkey").alias("_p"), F.col("p_retailprice").alias("list_price"))
-    near = relational.nearest_match(lines, lists, ["p_name"], F.abs(F.col("price") - F.col("list_price")), ["l_orderkey", "l_linenumber", "l_partkey", "price"], [F.col("_p")])
-    return near.select("l_orderkey", "l_linenumber", "l_partkey", "price", "list_price")
-
-
 @query("JOI_15_band_join", "WITH h AS (SELECT user_id, ts a, lead(ts) OVER (PARTITION BY user_id ORDER BY ts, event_id) b, event_id h FROM events WHERE event_type = 'signup') SELECT e.event_id, h.h AS header FROM events e JOIN h ON h.user_id = e.user_id AND e.ts >= h.a AND (h.b IS NULL OR e.ts < h.b) WHERE e.event_type = 'click'")
 def _(t):
     heads = relational.latest_per_key(t.events.where("event_type = 'signup'"), ["user_id", "ts"], [F.desc("event_id")]).select("user_id", "ts", F.col("event_id").alias("header"))
@@ -119,24 +110,6 @@ def _(t):
     return relational.zip_join(side("view", "x"), side("click", "y").withColumnRenamed("ts", "ts2").withColumnRenamed("event_id", "id2"), ["user_id"], order, [F.col("ts2"), F.col("id2")]).select("user_id", "k", "x", "y")
 
 
-@query("JOI_19_jaccard_join", """WITH w AS (SELECT p_partkey, list_distinct(regexp_extract_all(lower(p_name), '[a-z]+')) t FROM part), a AS (SELECT p_partkey, unnest(t) tok, len(t) n FROM w WHERE p_partkey % 2 = 0), b AS (SELECT p_partkey, unnest(t) tok, len(t) n FROM w WHERE p_partkey % 2 = 1), s AS (SELECT a.p_partkey AS l, b.p_partkey AS r, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS score FROM a JOIN b USING (tok) WHERE a.n >= 2 AND b.n >= 2 GROUP BY 1, 2) SELECT l AS raw_id, r AS name_id, score FROM s WHERE score >= 0.65 QUALIFY row_number() OVER (PARTITION BY l ORDER BY score DESC, r) = 1""")
-def _(t):
-    p = t.part.withColumn("tok", text.words(F.col("p_name")))
-    left, right = p.where("p_partkey % 2 = 0").withColumnRenamed("p_partkey", "raw_id"), p.where("p_partkey % 2 = 1").withColumnRenamed("p_partkey", "name_id")
-    return similarity.jaccard_best(left, right, "raw_id", "name_id", "tok", 0.65)
-
-
-@query("JOI_19_jaccard_all_parts", """WITH w AS (SELECT p_partkey, list_distinct(regexp_extract_all(lower(p_name), '[a-z]+')) t FROM part), a AS (SELECT p_partkey, unnest(t) tok, len(t) n FROM w), s AS (SELECT a.p_partkey AS l, b.p_partkey AS r, count(*) / (any_value(a.n) + any_value(b.n) - count(*)) AS score FROM a JOIN a AS b USING (tok) WHERE a.n >= 2 AND b.n >= 2 AND a.p_partkey <> b.p_partkey GROUP BY 1, 2) SELECT l AS raw_id, r AS name_id, score FROM s WHERE score >= 0.65 QUALIFY row_number() OVER (PARTITION BY l ORDER BY score DESC, r) = 1""")
-def _(t):
-    p = t.part.withColumn("tok", text.words(F.col("p_name")))
-    return similarity.jaccard_best(p.withColumnRenamed("p_partkey", "raw_id"), p.withColumnRenamed("p_partkey", "name_id"), "raw_id", "name_id", "tok", 0.65, apart=True)
-
-
-@query("JOI_21_fuzzy_join")
-def _(t):
-    return similarity.best_of_all(t.part, "p_name", 60.0)
-
-
 def _token_subset(t, events):
     names = t.part.select("p_name").distinct().withColumn("t", text.words(F.col("p_name")))
     p = lambda m, col, name: t.part.select(F.col("p_partkey").alias(f"k{m}"), F.col(col).alias(name))
@@ -147,42 +120,6 @@ def _token_subset(t, events):
     return similarity.subset_match(raw, names, "event_id", "p_name", "rt", "t")
 
 
-@query("JOI_22_token_subset", "WITH n AS (SELECT DISTINCT p_name, list_distinct(regexp_extract_all(lower(p_name), '[a-z]+')) t FROM part), r AS (SELECT event_id, list_distinct(regexp_extract_all(lower(x.p_name || ' ' || y.p_type || ' ' || z.p_name), '[a-z]+')) t FROM events JOIN part x ON x.p_partkey = event_id % 200 JOIN part y ON y.p_partkey = event_id % 7 JOIN part z ON z.p_partkey = event_id % 11 WHERE event_id < 300), h AS (SELECT event_id, p_name, len(n.t) k FROM r, n WHERE list_has_all(r.t, n.t)), m AS (SELECT *, max(k) OVER (PARTITION BY event_id) mx FROM h) SELECT event_id, any_value(p_name) AS p_name, any_value(k) AS n_tokens FROM m WHERE k = mx GROUP BY event_id HAVING count(*) = 1")
-def _(t):
-    return _token_subset(t, t.events.where("event_id < 300"))
-
-
-@query("JOI_22_token_subset_all", "WITH n AS (SELECT DISTINCT p_name, list_distinct(regexp_extract_all(lower(p_name), '[a-z]+')) t FROM part), r AS (SELECT event_id, list_distinct(regexp_extract_all(lower(x.p_name || ' ' || y.p_type || ' ' || z.p_name), '[a-z]+')) t FROM events JOIN part x ON x.p_partkey = event_id % 200 JOIN part y ON y.p_partkey = event_id % 7 JOIN part z ON z.p_partkey = event_id % 11), h AS (SELECT event_id, p_name, len(n.t) k FROM r, n WHERE list_has_all(r.t, n.t)), m AS (SELECT *, max(k) OVER (PARTITION BY event_id) mx FROM h) SELECT event_id, any_value(p_name) AS p_name, any_value(k) AS n_tokens FROM m WHERE k = mx GROUP BY event_id HAVING count(*) = 1")
-def _(t):
-    return _token_subset(t, t.events)
-
-
-@query("JOI_23_typo_pairs")
-def _(t):
-    return similarity.typo_pairs(t.part, "p_name", fuzzy.scorer(fuzzy.indel), low=80.0)
-
-
-@query("JOI_24_adjacent_rows", "WITH x AS (SELECT l_orderkey, l_linenumber, l_partkey, l_quantity q, lead(l_quantity) OVER w nq FROM lineitem WINDOW w AS (PARTITION BY l_orderkey ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity, l_extendedprice)) SELECT l_orderkey, l_linenumber, l_partkey, q, nq FROM x WHERE q > 45 AND nq < 5")
-def _(t):
-    from pyspark.sql import Window
-
-    w = Window.partitionBy("l_orderkey").orderBy("l_linenumber", "l_partkey", "l_suppkey", "l_quantity", "l_extendedprice")
-    return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.col("l_quantity").alias("q"), F.lead("l_quantity").over(w).alias("nq")).where("q > 45 AND nq < 5")
-
-
-@query("JOI_25_recursive_expansion", "WITH RECURSIVE x(root, node, quantity, level) AS (SELECT p_partkey, p_partkey, 1.0::DOUBLE, 0 FROM part WHERE p_size = 50 UNION ALL SELECT root, node // 10, quantity * (1 + node % 3), level + 1 FROM x WHERE level < 4 AND node > 0) SELECT root, node, sum(quantity) AS quantity, max(level) AS level FROM x GROUP BY 1, 2")
-def _(t):
-    edges = t.part.where("p_partkey > 0").select(F.col("p_partkey").alias("parent"), F.expr("p_partkey div 10").alias("child"), (1 + F.col("p_partkey") % 3).alias("factor"))
-    roots = t.part.where("p_size = 50").select(F.col("p_partkey").alias("root"), F.col("p_partkey").alias("node"), F.lit(1.0).alias("quantity"))
-    return recursive.expand(roots, edges).groupBy("root", "node").agg(F.sum("quantity").alias("quantity"), F.max("level").alias("level"))
-
-
-@query("JOI_26_tree_closure", "WITH RECURSIVE t AS (SELECT p_partkey node, CASE WHEN p_partkey >= 10 THEN p_partkey // 10 END parent FROM part), u(node, parent) AS (SELECT node, parent FROM t WHERE node = 423 UNION ALL SELECT t.node, t.parent FROM u JOIN t ON t.node = u.parent), d(node, level) AS (SELECT node, 0::BIGINT FROM u WHERE parent IS NULL UNION ALL SELECT t.node, level + 1 FROM d JOIN t ON t.parent = d.node) SELECT node, level FROM d")
-def _(t):
-    tree = t.part.select(F.col("p_partkey").alias("node"), F.when(F.col("p_partkey") >= 10, F.expr("p_partkey div 10")).alias("parent"))
-    return recursive.closure(tree, F.col("node") == 423)
-
-
 @query("JOI_27_no_shared_token", "SELECT l.p_partkey AS a FROM part l JOIN part r ON r.p_partkey = l.p_partkey + 1 WHERE NOT list_has_any(regexp_extract_all(lower(l.p_name), '[a-z]+'), regexp_extract_all(lower(r.p_name), '[a-z]+'))")
 def _(t):
     left = t.part.select(F.col("p_partkey").alias("a"), text.words(F.col("p_name")).alias("x"))

@@ -108,11 +108,6 @@ def _(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", F.last(F.when(F.col("l_quantity") > 40, F.col("l_partkey")), ignorenulls=True).over(w).alias("section"))
 
 
-@query("QRY_03_consumption", "SELECT l_suppkey, sum(l_quantity)::DOUBLE AS base_units, count(*) AS n FROM lineitem WHERE l_shipdate >= TIMESTAMP '1998-01-01' GROUP BY 1")
-def _(t):
-    return t.lineitem.where("l_shipdate >= TIMESTAMP_NTZ'1998-01-01'").groupBy("l_suppkey").agg(F.sum("l_quantity").alias("base_units"), F.count("*").alias("n"))
-
-
 @query("QRY_07_price_alerts", "WITH {LINES}, m AS (SELECT l_partkey, avg(price) AS mean FROM lines GROUP BY 1), r AS (SELECT CASE WHEN price > 5 * mean AND price - mean > 50 THEN 'leak' WHEN price > 2 * mean OR price < 0.5 * mean THEN 'drift' ELSE 'real' END AS class FROM lines JOIN m USING (l_partkey)) SELECT class, count(*) AS n FROM r GROUP BY 1")
 def _(t):
     mean = t.lines.groupBy("l_partkey").agg(F.avg("price").alias("mean"))

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from . import aggregates, joins, more, rows, scalars, streams, wider, windows, wording  # noqa: F401  (each registers its queries)
+from . import aggregates, joins, kitchen, matching, more, rows, scalars, streams, wider, windows, wording  # noqa: F401  (each registers its queries)
 from .base import ORACLES, QUERIES
 
 FLAGSHIP = "QRY_05_category_spend"

@@ -33,10 +33,6 @@ def _next_name(t):
     return t.part.select("p_partkey", F.col("p_name").alias("a")).join(b, "p_partkey")
 
 
-for _name, _rule in (("STR_15_token_sort", fuzzy.token_sort), ("STR_16_token_set", fuzzy.token_set), ("STR_18_sequence", fuzzy.sequence)):
-    query(_name)(lambda t, rule=_rule: _next_name(t).select("p_partkey", F.round(fuzzy.scorer(rule)("a", "b"), 6).alias("score")))
-
-
 @query("STR_22_section_name", "SELECT p_partkey, CASE WHEN contains(upper(p_type), 'PROMO') THEN 'PROMO' WHEN contains(upper(p_type), 'ECON') THEN 'ECON' ELSE p_type END AS section FROM part")
 def _(t):
     return t.part.select("p_partkey", text.section_name(F.col("p_type"), ["PROMO", "ECON"]).alias("section"))
@@ -49,40 +45,6 @@ def _(t):
     return t.lineitem.select("l_orderkey", "l_linenumber", "l_partkey", units.received(kind, F.col("l_quantity"), F.lit(6), by).alias("r")).select("l_orderkey", "l_linenumber", "l_partkey", "r.*")
 
 
-@query("ENT_02_section_pool", "WITH p AS (SELECT p_partkey, p_type, p_brand, count(*) OVER (PARTITION BY p_brand, p_type) AS n FROM part) SELECT p_brand, p_type, count(*) AS pool FROM p WHERE n >= 3 GROUP BY 1, 2")
-def _(t):
-    pool = t.part.groupBy("p_brand", "p_type").agg(F.count("*").alias("pool"))
-    return pool.where("pool >= 3")
-
-
-@query("ENT_05_guards", "SELECT p_partkey, CASE WHEN p_name LIKE 'small%' THEN 'unmatched' WHEN p_partkey % 4 = 0 THEN 'unmatched_class_mismatch' WHEN p_size > 40 THEN 'unmatched_drift' ELSE 'matched' END AS confidence FROM part")
-def _(t):
-    pack = F.when(F.col("p_partkey") % 4 == 0, "4/1 GAL")
-    wrong = units.class_mismatch(F.lit("weighed"), F.col("p_name"), pack)
-    return t.part.select("p_partkey", F.when(F.rlike("p_name", F.lit("^small")), "unmatched").when(wrong, "unmatched_class_mismatch").when(F.col("p_size") > 40, "unmatched_drift").otherwise("matched").alias("confidence"))
-
-
-@query("ENT_07_back_fill", "SELECT l_orderkey, l_linenumber, l_partkey, coalesce(CASE WHEN l_partkey % 2 = 0 THEN l_partkey END, p_partkey) AS product FROM lineitem LEFT JOIN (SELECT p_partkey FROM part WHERE p_size > 10) ON p_partkey = l_partkey")
-def _(t):
-    approved = t.part.where("p_size > 10").select("p_partkey")
-    known = F.when(F.col("l_partkey") % 2 == 0, F.col("l_partkey"))
-    return t.lineitem.join(approved, F.col("p_partkey") == F.col("l_partkey"), "left").select("l_orderkey", "l_linenumber", "l_partkey", F.coalesce(known, "p_partkey").alias("product"))
-
-
-@query("ENT_11_mapper_replay", "WITH r AS (SELECT p_brand AS old, CASE WHEN p_size < 5 THEN NULL WHEN p_size < 10 THEN 'other' ELSE p_brand END AS new FROM part) SELECT old, count(*) FILTER (new = old) AS agree, count(*) FILTER (new IS NULL) AS unmatched, count(*) FILTER (new <> old) AS different FROM r GROUP BY 1")
-def _(t):
-    r = t.part.select(F.col("p_brand").alias("old"), F.when(F.col("p_size") < 5, None).when(F.col("p_size") < 10, "other").otherwise(F.col("p_brand")).alias("new"))
-    return r.groupBy("old").agg(F.count_if(F.col("new") == F.col("old")).alias("agree"), F.count_if(F.col("new").isNull()).alias("unmatched"), F.count_if(F.col("new") != F.col("old")).alias("different"))
-
-
-@query("JOI_17_nearest_within", "WITH a AS (SELECT l_orderkey, l_linenumber AS k, l_partkey AS p, l_quantity AS y FROM lineitem WHERE l_returnflag = 'R'), b AS (SELECT l_orderkey, l_partkey AS q, l_quantity AS z FROM lineitem WHERE l_returnflag = 'N'), j AS (SELECT a.*, q, abs(y - z) AS dy, row_number() OVER (PARTITION BY l_orderkey, k, p, y ORDER BY abs(y - z), q) AS rn FROM a JOIN b USING (l_orderkey)) SELECT l_orderkey, k, p, q, dy FROM j WHERE rn = 1 AND dy <= 4")
-def _(t):
-    a = t.lineitem.where("l_returnflag = 'R'").select("l_orderkey", F.col("l_linenumber").alias("k"), F.col("l_partkey").alias("p"), F.col("l_quantity").alias("y"))
-    b = t.lineitem.where("l_returnflag = 'N'").select("l_orderkey", F.col("l_partkey").alias("q"), F.col("l_quantity").alias("z"))
-    near = relational.nearest_match(a, b, ["l_orderkey"], F.abs(F.col("y") - F.col("z")), ["l_orderkey", "k", "p", "y"], [F.col("q")])
-    return near.where("distance <= 4").select("l_orderkey", "k", "p", "q", F.col("distance").alias("dy"))
-
-
 @query("DQ_06_catalogue_collapse", "WITH r AS (SELECT l_suppkey, l_partkey, CAST(l_shipdate AS DATE) AS day, l_quantity, CASE WHEN l_discount > 0.05 THEN l_discount END AS d, l_orderkey, l_linenumber FROM lineitem) SELECT l_suppkey, l_partkey, CAST(day AS VARCHAR) AS day, arg_max(l_quantity, (l_orderkey, l_linenumber, l_quantity)) AS quantity, arg_max(d, (l_orderkey, l_linenumber, l_quantity, d)) FILTER (d IS NOT NULL) AS discount, count(*) AS n FROM r GROUP BY 1, 2, 3")
 def _(t):
     day, d = F.to_date("l_shipdate").cast("string"), F.when(F.col("l_discount") > 0.05, F.col("l_discount"))
@@ -111,13 +73,6 @@ def _(t):
     return g.select("l_linestatus", F.round(low, 6).alias("low"), F.round(high, 6).alias("high"))
 
 
-@query("QRY_02_reorder_predictions")
-def _(t):
-    used = t.part.where("p_size > 45").select(F.col("p_partkey").alias("l_partkey"))
-    bought = t.lines.join(used, "l_partkey", "left_anti")
-    return quality.cadence(bought, "l_partkey", "day", "2002-01-01").select("l_partkey", "n_days", F.round("urgency", 6).alias("urgency"))
-
-
 @query("WIN_01_latest_per_key", "SELECT c_custkey, arg_max(o_orderkey, (o_orderdate, o_orderkey)) AS latest FROM customer JOIN orders ON o_custkey = c_custkey GROUP BY 1")
 def _(t):
     joined = t.customer.join(t.orders, F.col("o_custkey") == F.col("c_custkey"))

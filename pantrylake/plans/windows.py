@@ -27,13 +27,6 @@ def _(t):
     return last.groupBy("user_id").agg(F.when(F.count("*") >= 3, F.round(F.avg("value"), 6)).alias("rate"))
 
 
-@query("WIN_05_neighbour_day", "WITH d AS (SELECT CAST(ts AS DATE) AS d, event_type, count(*) AS n FROM events GROUP BY 1, 2) SELECT CAST(a.d AS VARCHAR) AS d, a.event_type, a.n - b.n AS change FROM d a JOIN d b ON b.d = a.d - 1 AND b.event_type = a.event_type")
-def _(t):
-    d = t.events.groupBy(F.to_date("ts").alias("d"), "event_type").agg(F.count("*").alias("n"))
-    b = d.select(F.date_add("d", 1).alias("d"), "event_type", F.col("n").alias("before"))
-    return d.join(b, ["d", "event_type"]).select(F.col("d").cast("string").alias("d"), "event_type", (F.col("n") - F.col("before")).alias("change"))
-
-
 @query("WIN_06_last_known", "SELECT event_id, last_value(CASE WHEN event_type = 'purchase' THEN event_id END IGNORE NULLS) OVER (PARTITION BY user_id ORDER BY ts, event_id ROWS BETWEEN UNBOUNDED PRECEDING AND CURRENT ROW) AS marker FROM events")
 def _(t):
     value = F.when(F.col("event_type") == "purchase", F.col("event_id"))
@@ -47,16 +40,6 @@ def _(t):
     return x.withColumn("session", F.sum("fresh").over(w.rowsBetween(Window.unboundedPreceding, 0))).groupBy("user_id", "session").agg(F.count("*").alias("n"))
 
 
-@query("WIN_08_peer_count", "WITH {LINES}, x AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, ext, l_quantity) id, l_partkey, price FROM lines WHERE l_partkey < 40) SELECT a.l_partkey, a.price, count(b.id) AS peers FROM x a LEFT JOIN x b ON b.l_partkey = a.l_partkey AND b.id <> a.id AND b.price <> a.price AND b.price BETWEEN 0.7 * a.price AND 1.5 * a.price GROUP BY a.id, a.l_partkey, a.price")
-def _(t):
-    return relational.peer_count(t.lines.where("l_partkey < 40"), "l_partkey", "price", 0.7, 1.5)
-
-
-@query("WIN_08_peer_count_all", "WITH {LINES}, x AS (SELECT row_number() OVER (ORDER BY l_orderkey, l_linenumber, l_partkey, ext, l_quantity) id, l_partkey, price FROM lines) SELECT a.l_partkey, a.price, count(b.id) AS peers FROM x a LEFT JOIN x b ON b.l_partkey = a.l_partkey AND b.id <> a.id AND b.price <> a.price AND b.price BETWEEN 0.7 * a.price AND 1.5 * a.price GROUP BY a.id, a.l_partkey, a.price")
-def _(t):
-    return relational.peer_count(t.lines, "l_partkey", "price", 0.7, 1.5)
-
-
 @query("WIN_09_share_of_total", "SELECT p_brand, count(*) AS n, round(100.0::DOUBLE * count(*) / sum(count(*)) OVER (), 2) AS share FROM part GROUP BY 1")
 def _(t):
     return relational.share_of_total(t.part.groupBy("p_brand").agg(F.count("*").alias("n")), "n", "share")
@@ -76,11 +59,6 @@ def _(t):
     return days.select(F.col("d").cast("string").alias("d"), F.sum(F.coalesce("delta", F.lit(0))).over(Window.partitionBy(F.lit(0)).orderBy("d")).alias("headcount"))
 
 
-@query("WIN_12_best_version", "WITH {LINES} SELECT l_partkey, ext::DOUBLE AS ext, l_quantity FROM lines QUALIFY row_number() OVER (PARTITION BY l_partkey ORDER BY ext DESC, l_quantity, l_orderkey) = 1")
-def _(t):
-    return relational.latest_per_key(t.lines, ["l_partkey"], [F.desc("ext"), F.col("l_quantity"), F.col("l_orderkey")]).select("l_partkey", F.col("ext").cast("double").alias("ext"), "l_quantity")
-
-
 @query("WIN_13_ranks", "SELECT s_suppkey, rank() OVER w AS r, dense_rank() OVER w AS dr, ntile(4) OVER (PARTITION BY s_nationkey ORDER BY s_acctbal, s_suppkey) AS q FROM supplier WINDOW w AS (PARTITION BY s_nationkey ORDER BY floor(s_acctbal / 1000))")
 def _(t):
     w = Window.partitionBy("s_nationkey").orderBy(F.floor(F.col("s_acctbal") / 1000))
