@@ -13,6 +13,7 @@ from pyspark.sql import functions as F
 
 from ..functions import fuzzy, tables, text
 from .relational import latest_per_key
+from .staging import cut
 
 FUZZY, VENDOR_FUZZY, SORTED, CHARACTERS, CHARACTERS_SORTED, SUBSET_SCORE = 90, 90, 75, 95, 60, 95
 TIERS = ["non_product", "code", "vendor_exact", "vendor_fuzzy", "exact", "fuzzy", "stripped_fuzzy", "subset_match"]
@@ -113,6 +114,7 @@ def match_names(raws: DataFrame, names: DataFrame, brands: str | None = None) ->
     n = names.where(F.col("name").isNotNull()).select("name", "category").distinct()
     n = n.withColumn("np", plain(F.col("name"))).withColumn("ns", text.stems(F.col("name"))).withColumn("nt", F.array_join("ns", " ")).withColumn("nsort", F.array_join(F.array_sort("ns"), " "))
     r, n = r.withColumn("fsort", sorted_words(F.col("fp"))), n.withColumn("npsort", sorted_words(F.col("np")))
+    r, n = cut(r), cut(n)  # every tier reads these
     cats = "cats" in raws.columns
     allowed = (lambda df: df.where(F.array_contains("cats", F.col("category")))) if cats else (lambda df: df)
     facts_r, facts_n = r.drop("_m"), n
@@ -123,11 +125,11 @@ def match_names(raws: DataFrame, names: DataFrame, brands: str | None = None) ->
         return met.join(r.select("raw", side_a), side_a).join(n.select("name", side_b), side_b).select("raw", "name")
 
     set_ratio, sort_ratio, ratio = (fuzzy.scorer(x) for x in (fuzzy.token_set, fuzzy.token_sort, fuzzy.indel))
-    left, out = raws.select("raw").distinct(), []
+    left, out = r.select("raw").distinct(), []
 
     def take(found: DataFrame, tier: str) -> None:
         nonlocal left
-        got = found.join(left, "raw", "left_semi").select("raw", "name", F.lit(tier).alias("tier"), F.col("score").cast("double").alias("score"))
+        got = cut(found.join(left, "raw", "left_semi").select("raw", "name", F.lit(tier).alias("tier"), F.col("score").cast("double").alias("score")))
         out.append(got)
         left = left.join(got.select("raw"), "raw", "left_anti")
 
@@ -161,14 +163,15 @@ def resolve_items(items: DataFrame, mappings: DataFrame, names: DataFrame, thres
     """
     tiers = TIERS[: TIERS.index(last) + 1] if last else TIERS
     keyed = items.select("vendor", "code", "raw_description", "section").distinct().withColumn("raw", normalized(F.col("raw_description"))).withColumn("v", F.upper(F.coalesce("vendor", F.lit(""))))
-    keyed = keyed.withColumn("id", F.struct("vendor", "code", "raw_description", "section"))
+    keyed = cut(keyed.withColumn("id", F.struct("vendor", "code", "raw_description", "section")))
     left, out = keyed, []
 
     def take(found: DataFrame, tier: str) -> None:
         """found: (id, name, score)"""
         nonlocal left
-        out.append(found.select("id", F.col("name").alias("canonical"), F.lit(tier).alias("confidence"), F.col("score").cast("double").alias("score")))
-        left = left.join(found.select(F.col("id").alias("_id")), F.col("id") == F.col("_id"), "left_anti")
+        got = cut(found.select("id", F.col("name").alias("canonical"), F.lit(tier).alias("confidence"), F.col("score").cast("double").alias("score")))
+        out.append(got)
+        left = cut(left.join(got.select(F.col("id").alias("_id")), F.col("id") == F.col("_id"), "left_anti"))
 
     exact = lambda df: df.withColumn("score", F.lit(100.0))
     first = lambda df, key: df.where(F.col(key).isNotNull() & (F.col(key) != "")).groupBy(key).agg(F.min("name").alias("name"))

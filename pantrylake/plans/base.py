@@ -71,7 +71,7 @@ VIEWS = {
     # what a recipe asks for, with quantities and units of every kind
     # the kitchen: orders as recipes and menus, lines as ingredients and invoice lines, days as a census
     "recipes": "SELECT o_orderkey AS recipe_id, 'dish ' || CAST(o_orderkey % 97 AS STRING) AS name, CASE WHEN o_orderkey % 7 = 0 THEN NULL WHEN o_orderkey % 11 = 0 THEN 0 ELSE 10 + o_orderkey % 30 END AS serves FROM {orders}",
-    "ingredients": """SELECT l_orderkey * 10000000000 + l_linenumber * 1000000000 + l_partkey * 100 + CAST(l_quantity AS BIGINT) AS ingredient_id, l_orderkey AS recipe_id, n.p_name AS name,
+    "ingredients": """SELECT l_orderkey * 10000000000 + CAST(l_linenumber AS BIGINT) * 1000000000 + CAST(l_partkey AS BIGINT) * 100 + CAST(l_quantity AS BIGINT) AS ingredient_id, l_orderkey AS recipe_id, n.p_name AS name,
         CASE WHEN l_linenumber = 7 OR l_partkey % 19 = 0 THEN NULL ELSE l_partkey END AS product_id,
         CASE WHEN l_linenumber = 7 AND l_orderkey >= 10 THEN CAST(floor(l_orderkey / 10) AS BIGINT) ELSE NULL END AS sub_recipe_id,
         CASE WHEN l_partkey % 23 = 0 THEN NULL ELSE l_quantity + 0.13 END AS quantity,

@@ -181,7 +181,7 @@ codes AS (SELECT code, min(name) AS name FROM m WHERE code IS NOT NULL GROUP BY
 rs AS (SELECT DISTINCT v, raw, {by_words('raw')} AS s FROM i WHERE raw <> '' AND raw NOT LIKE '%SURCHARGE%'), ks AS (SELECT key, name, {by_words('key')} AS s FROM every),
 vf AS (SELECT rs.v, raw, own.name, {ratio('rs.s', 'o.s')} AS score, own.key FROM rs JOIN own USING (v) JOIN ks o USING (key) QUALIFY row_number() OVER (PARTITION BY rs.v, raw ORDER BY score DESC, own.key) = 1),
 gf AS (SELECT raw, ks.name, {ratio('r.s', 'ks.s')} AS score, ks.key FROM (SELECT DISTINCT raw, s FROM rs) r, ks QUALIFY row_number() OVER (PARTITION BY raw ORDER BY score DESC, ks.key) = 1),
-t AS (SELECT i.*, raw = '' AND coalesce(i.code, '') = '' AS blank, raw LIKE '%FUEL SURCHARGE%' AS fee, codes.name AS by_code, own.name AS by_own, CASE WHEN vf.score >= CASE WHEN i.v = 'BETA' THEN 80 ELSE 90 END THEN vf.name END AS by_vf, vf.score AS vs, every.name AS by_all,
+t AS (SELECT i.*, i.raw = '' AND coalesce(i.code, '') = '' AS blank, i.raw LIKE '%FUEL SURCHARGE%' AS fee, codes.name AS by_code, own.name AS by_own, CASE WHEN vf.score >= CASE WHEN i.v = 'BETA' THEN 80 ELSE 90 END THEN vf.name END AS by_vf, vf.score AS vs, every.name AS by_all,
  CASE WHEN gf.score >= 90 AND list_has_any({STEMS.format('i.raw')}, {STEMS.format('gf.name')}) THEN gf.name END AS by_gf, gf.score AS gs FROM i LEFT JOIN codes ON codes.code = i.code LEFT JOIN own ON own.v = i.v AND own.key = i.raw LEFT JOIN vf ON vf.v = i.v AND vf.raw = i.raw LEFT JOIN every ON every.key = i.raw LEFT JOIN gf ON gf.raw = i.raw),
 r AS (SELECT item_id, section, CASE WHEN blank THEN 'unmatched' WHEN fee THEN 'non_product' WHEN by_code IS NOT NULL THEN 'code' WHEN by_own IS NOT NULL THEN 'vendor_exact' WHEN by_vf IS NOT NULL THEN 'vendor_fuzzy' WHEN by_all IS NOT NULL THEN 'exact' WHEN by_gf IS NOT NULL THEN 'fuzzy' ELSE 'unmatched' END AS confidence,
  CASE WHEN blank OR fee THEN NULL ELSE coalesce(by_code, by_own, by_vf, by_all, by_gf) END AS canonical, vs, gs, raw, v FROM t)"""
