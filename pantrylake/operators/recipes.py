@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 
 from ..functions import tables, units
 from .relational import latest_per_key, latest_qualifying
+from .staging import cut
 
 DEPTH, SERVES, HEADCOUNT = 4, 40, 30
 
@@ -42,21 +43,25 @@ def estimated(ingredients: DataFrame, lines: DataFrame, products: DataFrame, ref
     both = both.withColumn("_yield", F.coalesce("ref_yield_pct", "yield_pct"))
 
     def tried(quantity: Column, unit: Column, yield_pct: Column | None) -> Column:
-        each = F.transform("_packs", lambda p: units.ingredient_cost(quantity, unit, F.col("name"), F.col("unit_price"), p, yield_pct, F.col("oz_per_cup"), F.col("per_pound"), F.col("count_low"), F.col("count_high"), densities, pieces))
-        priced = F.filter(each, lambda c: c["cost"].isNotNull())
-        return F.coalesce(F.get(priced, 0), F.element_at(each, -1))
+        return F.transform("_packs", lambda p: units.ingredient_cost(quantity, unit, F.col("name"), F.col("unit_price"), p, yield_pct, F.col("oz_per_cup"), F.col("per_pound"), F.col("count_low"), F.col("count_high"), densities, pieces))
+
+    def first_priced(each: str) -> Column:
+        return F.coalesce(F.get(F.filter(each, lambda c: c["cost"].isNotNull()), 0), F.element_at(each, -1))
 
     made = lambda note: F.struct(F.lit(None).cast("double").alias("cost"), F.lit(note).alias("note"))
-    both = both.withColumn("_one", tried(F.col("quantity"), F.col("unit"), F.col("_yield")))
+    both = cut(both)  # the candidates are read once for each attempt
+    both = both.withColumn("_each", tried(F.col("quantity"), F.col("unit"), F.col("_yield"))).withColumn("_one", first_priced("_each"))
     by_piece = F.lower(F.trim(F.coalesce("unit", F.lit("")))).isin("medium", "large", "small", "ea", "each") & (F.col("ap_weight_oz") > 0) & F.lower(F.trim("ap_unit")).isin("each", "head", "bunch")
-    both = both.withColumn("_two", F.when(F.col("_one.cost").isNull() & F.coalesce(by_piece, F.lit(False)), tried(F.col("quantity") * F.col("ap_weight_oz"), F.lit("oz"), None)))
+    again = F.col("_one.cost").isNull() & F.coalesce(by_piece, F.lit(False))
+    both = both.withColumn("_each", F.when(again, tried(F.col("quantity") * F.col("ap_weight_oz"), F.lit("oz"), None))).withColumn("_two", first_priced("_each"))
     chosen = (
         F.when(F.col("product_id").isNull() | F.col("quantity").isNull(), made("missing product or quantity"))
         .when(F.col("_p").isNull(), made("no invoice history"))
         .when(F.col("_two.cost").isNotNull(), F.col("_two"))
         .otherwise(F.col("_one"))
     )
-    return both.withColumn("_c", chosen).select(*ingredients.columns, F.col("_c.cost").alias("cost"), F.col("_c.note").alias("note"))
+    # roll-ups and reports read the costs several times
+    return cut(both.withColumn("_c", chosen).select(*ingredients.columns, F.col("_c.cost").alias("cost"), F.col("_c.note").alias("note")))
 
 
 def recipe_costs(recipes: DataFrame, costed: DataFrame, depth: int = DEPTH) -> DataFrame:

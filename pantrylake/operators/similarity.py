@@ -71,35 +71,38 @@ def subset_match(raw: DataFrame, names: DataFrame, raw_id: str, name: str, raw_t
 
 def greedy_match(left: DataFrame, right: DataFrame, group: str, a: str, b: str, tokens: str, low: float = 0.7) -> DataFrame:
     """(group, a, b, score): one to one within a group, in the order of the left ids: equal token sets first, then the
-    best Jaccard from `low` on of the right rows that are left (the lowest id of equals). Groups are small."""
+    best Jaccard from `low` on of the right rows that are left (the lowest id of equals). Groups are small: a group is
+    one row of two lists, and Arrow batches hold many groups."""
     import pandas as pd
 
-    def match(key, x: pd.DataFrame, y: pd.DataFrame) -> pd.DataFrame:
-        free = {i: frozenset(t) for i, t in sorted(zip(y[b], y[tokens]))}
-        rows, out = [(i, frozenset(t)) for i, t in sorted(zip(x[a], x[tokens]))], []
-        taken = set()
+    def pairs(x: list, y: list) -> list:
+        rows = sorted((r["id"], frozenset(r["t"])) for r in x if r["t"] is not None)
+        free = dict(sorted((r["id"], frozenset(r["t"])) for r in y if r["t"] is not None))
+        out, open_rows = [], []
         for i, t in rows:
-            same = next((j for j, u in free.items() if u == t and t), None)
-            if same is not None:
-                out.append((key[0], i, same, 1.0))
-                taken.add(i)
+            same = next((j for j, u in free.items() if t and u == t), None)
+            if same is None:
+                open_rows.append((i, t))
+            else:
                 del free[same]
-        for i, t in rows:
-            if i in taken or not t:
-                continue
-            best, score = None, 0.0
-            for j, u in free.items():
-                s = len(t & u) / len(t | u)
-                if s >= low and s > score:
-                    best, score = j, s
-            if best is not None:
-                out.append((key[0], i, best, score))
-                del free[best]
-        return pd.DataFrame(out, columns=[group, a, b, "score"])
+                out.append((i, same, 1.0))
+        for i, t in open_rows:
+            scored = [(-len(t & u) / len(t | u), j) for j, u in free.items() if t]
+            score, j = min(scored, default=(0.0, None))
+            if j is not None and -score >= low and score < 0:
+                del free[j]
+                out.append((i, j, -score))
+        return out
+
+    def match(batches):
+        for frame in batches:
+            found = [(g, *p) for g, x, y in zip(frame["g"], frame["x"], frame["y"]) for p in pairs(x, y)]
+            yield pd.DataFrame(found, columns=[group, a, b, "score"])
 
     kinds = {f.name: f.dataType.simpleString() for f in [*left.schema, *right.schema]}
     schema = f"{group} {kinds[group]}, {a} {kinds[a]}, {b} {kinds[b]}, score double"
-    return left.select(group, a, tokens).groupBy(group).cogroup(right.select(group, b, tokens).groupBy(group)).applyInPandas(match, schema)
+    listed = lambda df, c, name: df.groupBy(F.col(group).alias("g")).agg(F.collect_list(F.struct(F.col(c).alias("id"), F.col(tokens).alias("t"))).alias(name))
+    return listed(left, a, "x").join(listed(right, b, "y"), "g").mapInPandas(match, schema)
 
 
 def typo_pairs(names: DataFrame, name: str, score: Callable[[Column, Column], Column], low: float = 90.0, length: int = 3) -> DataFrame:

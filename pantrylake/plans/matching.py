@@ -54,6 +54,7 @@ def _(t):
     words = lambda c: F.array_distinct(F.split(F.concat_ws(" ", c, (F.col("l_quantity") % 3).cast("string")), " "))
     rows = t.lineitem.join(t.part, F.col("p_partkey") == F.col("l_partkey")).withColumn("w", words("p_name")).withColumn("id", F.col("l_partkey") * 100 + F.col("l_quantity"))
     left = rows.where("l_linenumber <= 4").select(F.col("l_orderkey").alias("doc"), F.col("id").cast("long").alias("a"), "w").dropDuplicates(["doc", "a"])
+    rows = rows.select("l_orderkey", "l_linenumber", "id", "w")
     right = rows.where("l_linenumber >= 3").select(F.col("l_orderkey").alias("doc"), F.col("id").cast("long").alias("b"), "w").dropDuplicates(["doc", "b"])
     return similarity.greedy_match(left, right, "doc", "a", "b", "w", 0.5)
 
