@@ -26,6 +26,12 @@ def percent_clipped(a: Column, b: Column) -> Column:
     return F.when(b > 0, F.least(F.bround(100.0 * a / b, 1), F.lit(100.0))).otherwise(0.0)
 
 
+def scaled_round(x: Column, digits: int) -> Column:
+    """A double rounded half away from zero after scaling by a power of ten (F.round goes by its shortest decimal form)."""
+    scale = float(10**digits)
+    return F.signum(x) * F.floor(F.abs(x) * scale + 0.5) / scale
+
+
 def price_class(now: Column, mean: Column) -> Column:
     """Order matters: over 5 x and 50 above is a leak, over 2 x or under half is drift, else real."""
     return F.when((now > 5 * mean) & (now - mean > 50), "leak").when((now > 2 * mean) | (now < 0.5 * mean), "drift").otherwise("real")

@@ -88,7 +88,7 @@ def _costs(t):
 @query("UNT_11_recipe_cost", f"{ROLL_SQL} SELECT recipe_id, round(total, 4) AS total, round(per_serving, 4) AS per_serving, priced, n, round(CASE WHEN n = 0 THEN 0 ELSE priced / n END, 6) AS coverage FROM costs")
 def _(t):
     c = _costs(t)
-    return c.select("recipe_id", *[F.round(x, 4).alias(x) for x in ("total", "per_serving")], "priced", "n", F.round("coverage", 6).alias("coverage"))
+    return c.select("recipe_id", *[stats.scaled_round(F.col(x), 4).alias(x) for x in ("total", "per_serving")], "priced", "n", stats.scaled_round(F.col("coverage"), 6).alias("coverage"))
 
 
 @query(
@@ -99,7 +99,7 @@ def _(t):
 )
 def _(t):
     m = recipes.menu_costs(t.view("menus"), t.view("sides"), _costs(t), t.view("census"))
-    return m.groupBy(F.trunc("day", "week").cast("string").alias("week"), "slot").agg(F.count("*").alias("menus"), F.round(F.sum("cost"), 1).alias("cost"))
+    return m.groupBy(F.trunc("day", "week").cast("string").alias("week"), "slot").agg(F.count("*").alias("menus"), stats.scaled_round(F.sum("cost"), 1).alias("cost"))
 
 
 @query("QRY_04_recipe_cost_coverage", f"{ESTIMATE_SQL} SELECT CASE WHEN cost IS NOT NULL THEN 'priced' WHEN note = 'missing product or quantity' THEN 'no product' WHEN note = 'no invoice history' THEN 'no invoice' WHEN note = 'no pack' THEN 'unparseable pack' ELSE note END AS class, count(*) AS n FROM costed WHERE sub_recipe_id IS NULL GROUP BY 1")
@@ -147,7 +147,7 @@ SELECT vendor, d.product_id, unit, round(quantity, 3) AS quantity, round(unit_pr
 )
 def _(t):
     g = recipes.order_guide(*[t.view(v) for v in ("menus", "sides", "recipes", "ingredients", "census", "bought")], until=UNTIL)
-    return g.select("vendor", F.col("product_id").cast("long").alias("product_id"), "unit", F.round("quantity", 3).alias("quantity"), F.round("line_total", 1).alias("line_total"), F.array_join("contributors", ",").alias("contributors"), F.col("last_day").cast("string").alias("last_day"))
+    return g.select("vendor", F.col("product_id").cast("long").alias("product_id"), "unit", stats.scaled_round(F.col("quantity"), 3).alias("quantity"), stats.scaled_round(F.col("line_total"), 1).alias("line_total"), F.array_join("contributors", ",").alias("contributors"), F.col("last_day").cast("string").alias("last_day"))
 
 
 STATES = f"""WITH {views('menus', 'sides', 'ingredients', 'freetext')}, {ONCE}, ing AS (SELECT * FROM ingredients), roots AS (SELECT menu_id AS r, recipe_id, 1 AS scale FROM mr), {_expand_sql('roots', 'w.scale')},
@@ -338,7 +338,7 @@ def _(t):
 )
 def _(t):
     used, _ = recipes.consumption(*[t.view(v) for v in ("menus", "sides", "recipes", "ingredients", "refs", "census")], pieces=PIECES)
-    return used.select(F.col("product_id").cast("long").alias("product_id"), "base_unit", F.round("quantity", 3).alias("quantity"))
+    return used.select(F.col("product_id").cast("long").alias("product_id"), "base_unit", stats.scaled_round(F.col("quantity"), 3).alias("quantity"))
 
 
 @query(
