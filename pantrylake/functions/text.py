@@ -100,9 +100,12 @@ def junk(c: Column, code: Column, price: Column, extended: Column, synthetic: Co
 
 
 def boilerplate(c: Column, phrases: list[str] = ["CUSTOMER'S ORIGINAL", "TRUCK STOP"]) -> Column:  # noqa: B006
-    """An address, a telephone number, a box number, a state with its code, or a known phrase instead of an item."""
+    """An address, a telephone number, a box number, a state with its code, or a known phrase instead of an item.
+
+    Only letters that the post assigns are a state: "XX 12345" is a vendor's item code.
+    """
     t = F.upper(F.trim(F.coalesce(c, F.lit(""))))
-    shapes = [r"^P\.?O\.?\s*BOX", r"^\d{3}[-.]\d{3}[-.]\d{4}$", r"^\(\d{3}\)\s*\d{3}[-.]\d{4}$", r"^[A-Z]{2}\s+\d{5}(?:-\d{4})?$", r"^\d{2,5}\s+[NSEW]\s+[A-Z]+", r"^DRIVER'?S\s+SIGN"]
+    shapes = [r"^P\.?O\.?\s*BOX", r"^\d{3}[-.]\d{3}[-.]\d{4}$", r"^\(\d{3}\)\s*\d{3}[-.]\d{4}$", rf"^(?:{'|'.join(tables.STATES)})\s+\d{{5}}(?:-\d{{4}})?$", r"^\d{2,5}\s+[NSEW]\s+[A-Z]+", r"^DRIVER'?S\s+SIGN"]
     out = t.isin(*phrases)
     for p in shapes:
         out = out | F.rlike(t, F.lit(p))
