@@ -270,8 +270,10 @@ def _pieces(shared):
         import numpy as np
         import pyarrow as pa
 
+        from .pieces import slices
+
         cutter, queues = shared.value
-        for batch in batches:
+        for batch in slices(batches, "ids", 1 << 20):  # a piece is seven numbers, made as Python's first
             cols = {k: batch.column(k).to_pylist() for k in ("doc_id", "queue", "start", "n")}
             out: dict[str, list] = {k: [] for k in ("doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset")}
             for row, ids in enumerate(batch.column("ids")):
