@@ -25,6 +25,8 @@ from collections.abc import Iterator
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from .common import map_arrow
+
 ORDER = 3
 TRAIN_DOCS, TRAIN_BYTES = 400, 400_000
 #: Context before the first byte of a text.
@@ -230,7 +232,7 @@ def identify(docs: DataFrame, trees: Trees | None = None) -> DataFrame:
             names, scores = _predictions(shared.value, batch.column("text"))
             yield pa.RecordBatch.from_arrays([*batch.columns, pa.array(names, pa.string()), pa.array(scores)], [*batch.schema.names, "lang_pred", "score"])
 
-    return docs.mapInArrow(predict, schema)
+    return map_arrow(docs, predict, schema)
 
 
 def keep_known(docs: DataFrame) -> DataFrame:
@@ -247,7 +249,8 @@ def keep_known(docs: DataFrame) -> DataFrame:
             names, scores = _predictions(shared.value, batch.column("text"))
             yield batch.filter(pa.array((names != "und") & (np.asarray(scores) >= KEEP_SCORE)))
 
-    return docs.withColumn("text", F.col("text").cast("string")).mapInArrow(known, docs.withColumn("text", F.col("text").cast("string")).schema)
+    texts = docs.withColumn("text", F.col("text").cast("string"))
+    return map_arrow(texts, known, texts.schema)
 
 
 def op7(docs: DataFrame) -> DataFrame:

@@ -28,7 +28,7 @@ from operator import itemgetter
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, staged
+from .common import checked_broadcast, map_arrow, staged
 
 LENGTH, END, PERIOD = 2048, 1, 32
 #: op2's target: a source's weight is its share of the ids to this power, so that small sources come more often at first.
@@ -302,7 +302,7 @@ def pack(docs: DataFrame, weights: dict[str | None, float] | float | None = None
     number, the power of their share of the ids; or nothing, so that all sources end together.
     """
     spark = docs.sparkSession
-    encoded = staged(queued(docs).mapInArrow(_encoded(vocabulary, controls), "doc_id long, queue string, part int, within long, n long, ids binary"), "encoded")
+    encoded = staged(map_arrow(queued(docs), _encoded(vocabulary, controls), "doc_id long, queue string, part int, within long, n long, ids binary"), "encoded")
     sums = encoded.groupBy("queue", "part").agg(F.sum("n").alias("sum"))
     before = Window.partitionBy("queue").orderBy("part").rowsBetween(Window.unboundedPreceding, -1)
     sums = staged(sums.withColumn("before", F.coalesce(F.sum("sum").over(before), F.lit(0))), "queues")
@@ -317,7 +317,7 @@ def pack(docs: DataFrame, weights: dict[str | None, float] | float | None = None
     shared = spark.sparkContext.broadcast((cutter, {q: i for i, q in enumerate(names)}))
     placed = encoded.join(checked_broadcast(sums.select("queue", "part", "before")), ["queue", "part"])
     placed = placed.select("doc_id", "queue", (F.col("before") + F.col("within")).alias("start"), "n", "ids")
-    return placed.mapInArrow(_pieces(shared), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
+    return map_arrow(placed, _pieces(shared), "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long")
 
 
 def op2(docs: DataFrame) -> DataFrame:

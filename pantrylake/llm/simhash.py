@@ -24,7 +24,7 @@ from itertools import combinations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import checked_broadcast, join_classes, staged
+from .common import checked_broadcast, join_classes, map_arrow, staged
 from .components import Forest, components
 
 BITS, SHINGLE, SEED, MAX_BITS = 64, 3, 42, 3
@@ -73,7 +73,7 @@ def _fingerprints(batches: Iterator) -> Iterator:
 def fingerprints(docs: DataFrame, *more: str) -> DataFrame:
     """(doc_id, *more, fp): the signed 64-bit fingerprint of every whole text."""
     picked = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *more)
-    return picked.mapInArrow(_fingerprints, picked.drop("text").withColumn("fp", F.lit(0).cast("long")).schema)
+    return map_arrow(picked, _fingerprints, picked.drop("text").withColumn("fp", F.lit(0).cast("long")).schema)
 
 
 def parts_for(n: int) -> int:

@@ -9,10 +9,11 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 from pantrylake.llm import digest, langid, mixing, packing, pii, registry, secret_scan, simhash, store
-from pantrylake.llm.common import fresh_path
+from pantrylake.llm.common import BATCH_BYTES, BATCH_KEY, fresh_path
 from pantrylake.llm.pieces import PieceEncoder, text_bytes
 
 OPERATORS = {"op2": packing.op2, "op3": mixing.op3, "op4": secret_scan.op4, "op5": pii.op5, "op7": langid.op7, "op8": store.op8, "op9": simhash.op9, "op10": digest.op10}
@@ -505,3 +506,23 @@ def test_slices_keep_all_rows_in_order():
             data, at = text_bytes(b.column("text"))
             assert [bytes(data[i:j]).decode() for i, j in zip(at, at[1:])] == [x or "" for x in b.column("text").to_pylist()]
             assert b.num_rows == 1 or int(at[-1] - at[0]) <= most
+
+
+@pytest.mark.parametrize("name, made", [("packing", packing.op2), ("simhash", simhash.fingerprints), ("langid", langid.op7)])
+def test_workers_get_batches_of_bounded_bytes(name, made, spark):
+    own = spark.newSession()
+    assert own.conf.get(BATCH_KEY, None) is None
+    texts = own.range(0, 4000, 1, 1).select(F.col("id").alias("doc_id"), F.repeat(F.lit("ab "), 1000).alias("text"), F.lit("en").alias("lang"), F.lit("a").alias("source"))
+
+    def rows(batches):
+        import pyarrow as pa
+
+        for batch in batches:
+            yield pa.RecordBatch.from_arrays([pa.array([batch.num_rows])], ["n"])
+
+    assert made(texts).count() >= 4000
+    sizes = [r.n for r in texts.mapInArrow(rows, "n long").collect()]
+    assert sum(sizes) == 4000 and max(sizes) <= BATCH_BYTES / 3000 + 1
+    own.conf.set(BATCH_KEY, "1000000")  # a caller's own bound is kept
+    made(texts)
+    assert own.conf.get(BATCH_KEY) == "1000000"
